@@ -21,13 +21,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     A document is its ids and end_id; only a longer one than capacity is cut, the first piece taking the remainder.
     Null text is empty: one piece of the end id.
     """
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], np.uint32)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = words.payloads(vocabulary)
         out: list[list] = [[] for _ in range(6)]
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = encode(text or "") + end
+        for doc_id, found in zip(batch.column("doc_id").to_pylist(), words.encoder(vocabulary)(common.blobs(batch.column("text"))), strict=True):
+            ids = np.concatenate([found, end]).astype("<u4").tobytes()
             n = len(ids) // 4
             at = 0
             for k in range(-(-n // capacity)):

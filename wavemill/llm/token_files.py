@@ -120,19 +120,21 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_by
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def shards(batches):
-        encode = words.payloads(vocabulary, 4)
-        width = 2 if max(encode.library.get_vocab_size() - 1, end_id) < 1 << 16 else 4
-        encode, end = words.payloads(vocabulary, width), end_id.to_bytes(width, "little")
+        encode = words.encoder(vocabulary)
+        width = 2 if max(encode.one.library.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+        end = end_id.to_bytes(width, "little")
         part, number, keys, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "") + end
-                if keys and size + len(ids) > shard_bytes:
-                    yield common.record(_SHARD, *([v] for v in _shard(part, number, width, keys, parts)))
-                    number, keys, parts, size = number + 1, [], [], 0
-                keys.append(key)
-                parts.append(ids)
-                size += len(ids)
+            for at in range(0, batch.num_rows, common.BATCH_ROWS):
+                some = batch.slice(at, common.BATCH_ROWS)
+                for key, found in zip(some.column("doc_id").to_pylist(), encode(common.blobs(some.column("text"))), strict=True):
+                    ids = found.astype(f"<u{width}").tobytes() + end
+                    if keys and size + len(ids) > shard_bytes:
+                        yield common.record(_SHARD, *([v] for v in _shard(part, number, width, keys, parts)))
+                        number, keys, parts, size = number + 1, [], [], 0
+                    keys.append(key)
+                    parts.append(ids)
+                    size += len(ids)
         if keys:
             yield common.record(_SHARD, *([v] for v in _shard(part, number, width, keys, parts)))
 

@@ -6,9 +6,12 @@ import base64
 import os
 import re
 
+import numpy as np
 import public_tokenizers
 import regex
 
+from wavemill.llm import hashing
+
 #: Splits a text into pre-tokens; its matches cover every character.
 PATTERN = public_tokenizers.PATTERN
 
@@ -56,14 +59,178 @@ class Payloads:
         return b"".join([memo[w] for w in self.split(text)])
 
 
+#: Classes of bytes for splitting without a pattern: letters, numbers, other signs, space, newline, and bytes that only
+#: the pattern can tell (other white space, apostrophes, and characters from U+0080 to U+00BF or from U+0280 on).
+_LETTER, _NUMBER, _SIGN, _BLANK, _NEWLINE, _ASK = range(6)
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+_CLASS[0x30:0x3A] = _NUMBER
+_CLASS[0x20], _CLASS[0x0A] = _BLANK, _NEWLINE
+_CLASS[[0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x27, 0xC2, *range(0xCA, 0x100)]] = _ASK
+
+
+def plain_starts(text: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pre-tokens start in texts laid end to end (at firsts), and which texts need the pattern itself.
+
+    A text is plain if its blanks and newlines stand alone between other characters and it holds no byte to ask the
+    pattern about (nor the two signs among the letters of U+00C0 to U+00FF). There a pre-token is a newline, or a run of
+    one class with the blank before it.
+    """
+    kind = _CLASS[text]
+    start, ask = np.ones(len(text), bool), kind == _ASK
+    before, now = kind[:-1], kind[1:]
+    start[1:] = (now >= _BLANK) | ((before != now) & (before != _BLANK))
+    blanks = (now >= _BLANK) & (before >= _BLANK)
+    within = np.ones(len(text), bool)
+    within[firsts] = False
+    ask[1:] |= blanks & within[1:]
+    ask[1:] |= (text[:-1] == 0xC3) & ((text[1:] == 0x97) | (text[1:] == 0xB7))
+    start[firsts] = True
+    return np.flatnonzero(start), np.add.reduceat(ask, firsts) > 0
+
+
+class Encoder:
+    """Many texts to ids at once. Pre-tokens are split and hashed for whole buffers; each distinct one is encoded by the
+    library's model when it is first met, and its ids are found by its 64-bit hash from then on.
+
+    Texts that aren't plain go through Payloads one by one.
+    """
+
+    #: Distinct pre-tokens that are remembered (some 40 bytes each); beyond that it starts over.
+    MOST = 3_000_000
+
+    def __init__(self, path: str):
+        self.one = Payloads(path, 4)
+        self.model = self.one.library.model
+        shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]  # bytes that stand for themselves
+        self.spelling = {b: b if b in set(shown) else 256 + k for k, b in enumerate([*(b for b in range(256) if b not in shown), *shown])}
+        self.clear()
+
+    def clear(self) -> None:
+        self.bits, self.count = 16, 0
+        self.keys, self.entry = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of hashes, -1 where there is none."""
+        mask, out = len(self.keys) - 1, np.full(len(hashes), -1, np.int32)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        hit = held == hashes
+        out[hit] = self.entry[slot[hit]]
+        left = np.flatnonzero(~hit & (held != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & mask
+            held = self.keys[slot[left]]
+            hit = held == hashes[left]
+            out[left[hit]] = self.entry[slot[left[hit]]]
+            left = left[~hit & (held != 0)]
+        return out
+
+    def _put(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.entry[slot[won]] = hashes[won], entries[won]
+            left = left[self.keys[slot[left]] != hashes[left]]
+            slot[left] = (slot[left] + 1) & mask
+
+    def _learn(self, hashes: np.ndarray, spelt: list[bytes]) -> None:
+        """Adds distinct pre-tokens; the library's model encodes them."""
+        tokenize, spelling = self.model.tokenize, self.spelling
+        ids = [[t.id for t in tokenize(w.decode("latin-1").translate(spelling))] for w in spelt]
+        sizes = np.array(list(map(len, ids)), np.int64)
+        flat = np.array([i for w in ids for i in w], np.uint32)
+        n, more = self.count + len(ids), self.used + len(flat)
+        if n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.starts, self.sizes))
+        if more > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(more, np.uint32)])
+        self.flat[self.used : more] = flat
+        self.sizes[self.count : n], self.starts[self.count : n] = sizes, self.used + np.cumsum(sizes) - sizes
+        if 2 * n > len(self.keys):
+            held = self.keys != 0
+            keys, entries = self.keys[held], self.entry[held]
+            while 2 * n > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(keys, entries)
+        self._put(hashes, np.arange(self.count, n, dtype=np.int32))
+        self.count, self.used = n, more
+
+    def _plain(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens at starts, end to end, and where each pre-token's end."""
+        hashes = hashing.span_hashes(text, starts)
+        found = self._find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if self.count > self.MOST:
+                self.clear()
+                return self._plain(text, starts)
+            distinct, first = np.unique(hashes[new], return_index=True)
+            at = new[first]
+            ends = np.append(starts, len(text))[at + 1].tolist()
+            raw = text.tobytes()
+            self._learn(distinct, [raw[a:b] for a, b in zip(starts[at].tolist(), ends, strict=True)])
+            found[new] = self._find(hashes[new])
+        n = self.sizes[found]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]), dtype=np.int64)
+        at += np.repeat(self.starts[found] - (ends - n), n)
+        return self.flat[at], ends
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids (uint32) of each text."""
+        out: list[np.ndarray] = []
+        k = 0
+        while k < len(texts):
+            to, size = k + 1, len(texts[k])
+            while to < len(texts) and size + len(texts[to]) <= hashing.BLOCK:
+                size += len(texts[to])
+                to += 1
+            out += self._run(texts[k:to])
+            k = to
+        return out
+
+    def _run(self, texts: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [np.zeros(0, np.uint32) if not t else None for t in texts]
+        some = [k for k, t in enumerate(texts) if t]
+        if not some:
+            return out
+        text = np.frombuffer(b"".join(texts[k] for k in some), np.uint8)
+        lengths = np.array([len(texts[k]) for k in some])
+        firsts = np.cumsum(lengths) - lengths
+        starts, ask = plain_starts(text, firsts)
+        if ask.any():
+            for k in np.flatnonzero(ask).tolist():
+                out[some[k]] = np.frombuffer(self.one(texts[some[k]].decode()), np.uint32)
+            some = [k for k, asks in zip(some, ask.tolist(), strict=True) if not asks]
+            if not some:
+                return out
+            text = np.frombuffer(b"".join(texts[k] for k in some), np.uint8)
+            lengths = lengths[~ask]
+            firsts = np.cumsum(lengths) - lengths
+            starts, _ = plain_starts(text, firsts)
+        ids, ends = self._plain(text, starts)
+        bounds = np.concatenate([[0], ends])[np.searchsorted(starts, np.append(firsts, len(text)))]
+        for k, a, b in zip(some, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[k] = ids[a:b]
+        return out
+
+
 _cached: dict[tuple, object] = {}
 
 
-def payloads(path: str, width: int = 4) -> Payloads:
+def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""
-    if (path, width) not in _cached:
-        _cached[path, width] = Payloads(path, width)
-    return _cached[path, width]
+    if ("encoder", path) not in _cached:
+        _cached["encoder", path] = Encoder(path)
+    return _cached["encoder", path]
 
 
 def ranks(path: str) -> dict[bytes, int]:
