@@ -47,7 +47,15 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     _tables.append((spark, path))
 
 
+def forget_table_at_exit(spark: SparkSession, name: str) -> None:
+    """Have a table of the catalog, in the shared warehouse, dropped like those of keep()."""
+    _tables.append((spark, f"table:/{name}"))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if path.startswith("table:/"):
+        spark.sql(f"DROP TABLE IF EXISTS {path.removeprefix('table:/')}")
+        return
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
