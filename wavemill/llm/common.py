@@ -61,22 +61,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the tables of keep() that df reads; for tables that nothing reads any more."""
-    files = df.inputFiles()
-    for entry in list(_tables):
-        name = entry[1].rsplit("/", 1)[1]
-        if any(f"/{name}/" in f for f in files):
-            _tables.remove(entry)
-            _delete(*entry)
+def tables() -> list[tuple[SparkSession, str]]:
+    """What keep() has written so far and nobody has deleted."""
+    return list(_tables)
 
 
-def release(reading: DataFrame | None = None) -> None:
-    """Delete the tables of keep() that `reading` doesn't read."""
-    files = reading.inputFiles() if reading is not None else []
-    for entry in list(_tables):
+def delete(unused: list[tuple[SparkSession, str]], reading: DataFrame) -> None:
+    """Delete those of tables() that `reading` doesn't read."""
+    files = reading.inputFiles()
+    for entry in unused:
         name = entry[1].rsplit("/", 1)[1]
-        if not any(f"/{name}/" in f for f in files):
+        if entry in _tables and not any(f"/{name}/" in f for f in files):
             _tables.remove(entry)
             _delete(*entry)
 

@@ -156,17 +156,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def classify(docs: DataFrame, model: Model, pass_on: list[str]) -> DataFrame:
-    """docs' columns pass_on, with score (double) and predicted (int); a row for each row of docs(text).
+    """docs' columns pass_on, with score (double) and predicted (int); a row for each row of docs(text string).
 
     Null and empty texts get the score of the bias. Repeated rows get equal scores.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
-    rows = docs.select(*pass_on, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double, predicted int"])
+    rows = docs.select(*pass_on, *["text"] * ("text" not in pass_on))
+    place = rows.columns.index("text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(pass_on)]), "score double, predicted int"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = score(common.blobs(batch.column(len(pass_on))), shared.value)
+        p = score(common.blobs(batch.column(place)), shared.value)
         return pa.record_batch([*(batch.column(k) for k in range(len(pass_on))), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*pass_on, "score", "predicted"])
 
     return common.over_texts(rows, run, schema)
@@ -184,4 +185,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected (predicted 0), with their columns."""
     names = docs.columns
-    return classify(docs, train(docs, labels), names).filter("predicted = 1").select(*names)
+    placed = docs.toDF(*(f"c{k}" if c != "text" else c for k, c in enumerate(names)))  # score and predicted may be taken
+    scored = classify(placed, train(docs, labels), placed.columns)
+    return scored.filter("predicted = 1").drop("score", "predicted").toDF(*names)
