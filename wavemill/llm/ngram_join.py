@@ -4,8 +4,8 @@ Vocabulary: a document's set holds the hashes (64 bits) of its distinct shingles
 named by a digest of the set. Two nodes are linked if their sets' Jaccard similarity reaches the threshold t.
 
 Candidates. For nodes of similar size a universe of shingles is fixed (all whose hash is below a bound), and a node's
-tokens are those of its shingles that lie in it. If x and y are linked, at most tau = n - ceil(t n) tokens of x are
-missing from y and the other way round. Take any global order of tokens and any partition into classes, class c with
+tokens are those of its shingles that lie in it. If x and y are linked, at most tau tokens of x are missing from y:
+n - ceil(t n) of the larger, and no more than n - ceil(2 t n / (1 + t)) of the smaller. Take any global order of tokens and any partition into classes, class c with
 k_c-token combinations: if a prefix of x holds n_c tokens of class c with sum(max(0, n_c - k_c + 1)) > tau, then some
 class has k_c tokens that y shares, and y's own prefix holds them too (whichever prefix ends first, all it shares with
 the other lies in the other's). So linked nodes share a combination within their prefixes. Here tokens that no other node
@@ -13,9 +13,13 @@ has are a class that needs no index, tokens of up to RARE rows are single keys,
 over small classes of pairs; the order goes from rare to frequent. So a passage that many documents hold is hardly ever
 in a prefix, and where it is, it takes two of its tokens to make a key.
 
-Links. Nodes of one key are first verified against the key's smallest node only: copies meet in a few links, never in
-all pairs. Only nodes of one key that are still in different components are then compared with each other, unless the
-triangle inequality of the Jaccard distance, by way of the smallest node, rules a link out. No link that could join two
+This is done twice. First for all nodes, in universes that hold just as many shingles as prefixes need; nodes that share
+no key are done. Then for the nodes that are left, with all of their shingles, counted among themselves: what tells
+altered copies apart is rare there, so that prefixes of those that aren't linked hardly reach what they have in common.
+
+Links. Nodes of one key are first verified against the key's hub only, its node whose tokens are the most frequent (the
+original of a group of altered copies rather than one of them): copies meet in a few links, never in all pairs. Only nodes of one key that are still in different components are then compared with each other, unless the
+triangle inequality of the Jaccard distance, by way of the hub, rules a link out. No link that could join two
 components is left out.
 """
 
@@ -33,7 +37,7 @@ from pyspark.sql import Window
 from wavemill.llm import common, hashing
 
 #: Tokens of at most so many rows are single keys.
-RARE = 8
+RARE = 32
 
 #: Sizes of sets below which nodes share a universe, for the first; each later one spans GROWTH times as much.
 FIRST, GROWTH, LEVELS = 16, 4, 16
@@ -55,11 +59,28 @@ class Measure:
     words: int
     num: int
     den: int
-    whole: bool = False  # universes hold all shingles and frequent tokens are one class
+    whole: bool = False  # universes hold all shingles
+    single: bool = False  # frequent tokens are one class, so that prefixes are always long enough
 
     def tau(self, n: int) -> int:
+        """Shingles of a set that one no larger may miss."""
         return n - -(-self.num * n // self.den)
 
+    def tau_small(self, n: int) -> int:
+        """Shingles of a set that one no smaller may miss."""
+        return n - -(-2 * self.num * n // (self.num + self.den))
+
+    def may(self, x: str, y: str):
+        """Whether nodes of one key can be linked, by the columns n, alone and small of each.
+
+        The key must lie in the prefix of the smaller one as such (of both, if they are equally large), and what each
+        may share at most, all but the tokens it has alone, must reach what a link takes.
+        """
+        nx, ny, ax, ay, sx, sy = (F.col(c) for c in (f"n{x}", f"n{y}", f"alone{x}", f"alone{y}", f"small{x}", f"small{y}"))
+        role = F.when(nx < ny, sx).when(nx > ny, sy).otherwise(sx & sy)
+        reach = lambda n, alone: F.lit(self.num + self.den) * (n - alone) >= F.lit(self.num) * (nx + ny)
+        return role & reach(nx, ax) & reach(ny, ay) & (F.lit(self.den) * F.least(nx, ny) >= F.lit(self.num) * F.greatest(nx, ny))
+
     @property
     def least(self) -> int:
         """The smallest set that can be linked with a different one."""
@@ -69,7 +90,7 @@ class Measure:
         out, low, high, t = [], 0, FIRST, 1 - self.num / self.den
         for k in range(LEVELS):
             share = 1.0 if self.whole or not low else min(1.0, 2.2 * t + 1.2 / math.sqrt(max(low * t, 1e-9)))
-            classes = 1 if self.whole else max(1, int(high * share / 16))
+            classes = 1 if self.single else max(1, int(high * share / 16))
             out.append(Level(k, low, high if k < LEVELS - 1 else 1 << 62, int(share * (1 << 64)) if share < 1 else 1 << 64, classes))
             low, high = -(-high * self.num // self.den), high * GROWTH
         return out
@@ -117,7 +138,7 @@ _SETS = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "twin": pa.i
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return common.only(docs, doc_id="long", text="string")
 
 
 def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -136,6 +157,13 @@ def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
     return common.over_texts(docs, run, "doc_id long, n long, node long, twin long, sizes array<long>")
 
 
+def _marked(found: np.ndarray, level: Level) -> np.ndarray:
+    """Shingles as tokens of a level."""
+    with np.errstate(over="ignore"):
+        mixed = hashing.mixed(found + _ODD[2] * np.uint64(level.number + 1))
+    return (mixed & ~np.uint64(15)) | np.uint64(level.number)
+
+
 def _tokens(docs: DataFrame, measure: Measure) -> DataFrame:
     """(token, node) of every node, once a task at least; a token's last four bits are its level."""
     levels = measure.levels()
@@ -156,9 +184,7 @@ def _tokens(docs: DataFrame, measure: Measure) -> DataFrame:
                     seen.add(node)
                     for v in of:
                         mine = found[: np.searchsorted(found, np.uint64(v.bound))] if v.bound < 1 << 64 else found
-                        with np.errstate(over="ignore"):
-                            mixed = hashing.mixed(mine + _ODD[2] * np.uint64(v.number + 1))
-                        tokens.append((mixed & ~np.uint64(15)) | np.uint64(v.number))
+                        tokens.append(_marked(mine, v))
                         nodes.append(np.full(len(mine), node, np.int64))
                 if tokens:
                     yield common.record(out, np.concatenate(tokens).view(np.int64), np.concatenate(nodes))
@@ -166,51 +192,60 @@ def _tokens(docs: DataFrame, measure: Measure) -> DataFrame:
     return common.in_python(docs.select("text"), run, "token long, node long")
 
 
-def keys_of(n: int, sizes: list[int], shared: list[tuple[int, int]], measure: Measure, levels: list[Level]) -> tuple[list[int], bool]:
-    """A node's keys, and whether they are enough. shared: its tokens that other nodes have too, with their row counts."""
-    keys: list[int] = []
+def keys_of(n: int, sizes: list[int], shared: list[tuple[int, int]], measure: Measure, levels: list[Level]) -> tuple[list[tuple[int, int, bool]], bool]:
+    """A node's keys, and whether they are enough: (key, tokens it has alone, in its prefix as the smaller of a pair).
+
+    shared: its tokens that other nodes have too, with their row counts.
+    """
+    keys: list[tuple[int, int, bool]] = []
     enough = True
     for level, size in zip(measure.of(n, levels), sizes, strict=True):
         mine = sorted({(c > RARE, c, t) for t, c in shared if t & 15 == level.number})
-        need = measure.tau(n) + 1 - (size - len(mine))
-        if need <= 0:
-            continue
+        alone = size - len(mine)
+        need, need_small = measure.tau(n) + 1 - alone, measure.tau_small(n) + 1 - alone
         classes: dict[int, list[int]] = {}
         for frequent, _, token in mine:
             if need <= 0:
                 break
+            small = need_small > 0
             if not frequent:
-                keys.append(token)
-                need -= 1
+                keys.append((token, alone, small))
+                counts = 1
             else:
                 members = classes.setdefault(((token & (2**64 - 1)) >> 4) % level.classes, [])
                 for other in members:
                     x = ((token ^ 0x5851F42D4C957F2D) * (other | 1) + (other ^ token) * 0x14057B7EF767814F + (other + token)) & (2**64 - 1)
                     x = ((x ^ (x >> 31)) * 0x7FB5D329728EA185) & (2**64 - 1)
-                    keys.append((x ^ (x >> 27)) - (1 << 63))
-                need -= bool(members)
+                    keys.append(((x ^ (x >> 27)) - (1 << 63), alone, small))
+                counts = bool(members)
                 members.append(token)
+            need, need_small = need - counts, need_small - counts
         enough = enough and need <= 0
     return keys, enough
 
 
+_KEYS = {"key": pa.int64(), "node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "small": pa.bool_(), "rank": pa.int64(), "enough": pa.bool_()}
+
+
 def _keys(nodes: DataFrame, shared: DataFrame, measure: Measure) -> DataFrame:
-    """(key, node, n, enough): a row for each key, and one without a key for a node whose keys aren't enough."""
+    """Rows of _KEYS: one for each key, and one without a key for a node whose keys aren't enough.
+
+    rank is low for a node whose tokens are frequent on average, those of its own counting 1.
+    """
     levels = measure.levels()
-    out = {"key": pa.int64(), "node": pa.int64(), "n": pa.int64(), "enough": pa.bool_()}
     lists = shared.groupBy("node").agg(F.collect_set(F.struct("token", "rows")).alias("shared"))
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            rows = []
             for row in batch.to_pylist():
+                size = max(1, sum(row["sizes"]))
+                rank = -(1000 * (sum(s["rows"] for s in row["shared"]) + size - len(row["shared"])) // size)
                 keys, enough = keys_of(row["n"], row["sizes"], [(s["token"], s["rows"]) for s in row["shared"]], measure, levels)
-                for key in {*keys} if enough else {None}:
-                    for column, value in zip(columns, (key, row["node"], row["n"], enough), strict=True):
-                        column.append(value)
-            yield common.record(out, *columns)
+                rows += [(key, row["node"], row["n"], alone, small, rank, enough) for key, alone, small in (keys if enough else [(None, 0, True)])]
+            yield common.record(_KEYS, *(zip(*rows, strict=True) if rows else [[]] * len(_KEYS)))
 
-    return common.in_python(nodes.join(lists, "node").select("node", "n", "sizes", "shared"), run, "key long, node long, n long, enough boolean")
+    return common.in_python(nodes.join(lists, "node").select("node", "n", "sizes", "shared"), run, "key long, node long, n long, alone long, small boolean, rank long, enough boolean")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -255,23 +290,45 @@ def connected(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _counted(tokens: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """Keys of nodes(node, n, sizes) from tokens(token, node)."""
+    by_token = Window.partitionBy("token")
+    counted = tokens.select("token", "node", F.count("*").over(by_token).alias("rows"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
+    shared = common.keep(counted.filter("lo <> hi").select("token", "node", "rows"), "shared")
+    return common.keep(_keys(nodes, shared, measure), "keys")
+
+
+def _members(keyed: DataFrame, measure: Measure) -> DataFrame:
+    """Nodes of keys on which some node may be linked with a smaller or equal one: node and hub (_b) of each key."""
+    several = keyed.groupBy("key").agg(F.min(F.struct("rank", "node", "n", "alone", "small")).alias("hub"), F.count("*").alias("m"), F.max("small").alias("some")).filter("m > 1 and some")
+    several = common.keep(several.select("key", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("node", "n", "alone", "small"))), "groups")
+    return common.keep(keyed.join(several, "key").select("key", "node", "n", "alone", "small", "node_b", "n_b", "alone_b", "small_b"), "members")
+
+
+def _all_tokens(full: DataFrame, measure: Measure) -> DataFrame:
+    """(token, node) of full(node, set), all shingles of each."""
+    levels = measure.levels()
+    out = {"token": pa.int64(), "node": pa.int64()}
+
+    def run(batches):
+        for batch in batches:
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist(), strict=True):
+                found = np.frombuffer(data, "<u8")
+                for v in measure.of(len(found), levels):
+                    yield common.record(out, _marked(found, v).view(np.int64), np.full(len(found), node, np.int64))
+
+    return common.in_python(full, run, "token long, node long")
+
+
 def node_components(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(sets of all rows, links(a, b, both, either), components(node, component)); the last two None without links."""
     docs = _texts(docs)
     sets = common.keep(_sets(docs, measure), "sets")
     nodes = common.keep(sets.filter(F.size("sizes") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sizes").alias("sizes")), "nodes")
-    by_token = Window.partitionBy("token")
-    counted = _tokens(docs, measure).select("token", "node", F.count("*").over(by_token).alias("rows"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
-    shared = common.keep(counted.filter("lo <> hi").select("token", "node", "rows"), "shared")
-    keyed = common.keep(_keys(nodes, shared, measure), "keys")
-    if not measure.whole and keyed.filter("not enough").limit(1).count():
-        return node_components(docs, Measure(measure.words, measure.num, measure.den, True))
-
-    n_ok = F.lit(measure.den) * F.least("n", "n_b") >= F.lit(measure.num) * F.greatest("n", "n_b")
-    groups = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"))
-    groups = common.keep(groups, "groups")
-    members = common.keep(keyed.join(groups, "key").select("key", F.col("node").alias("a"), "n", "b", "n_b"), "members")
-    wanted = members.select(F.col("a").alias("node")).distinct()
+    keyed = _counted(_tokens(docs, measure), nodes, measure)
+    if not measure.single and keyed.filter("not enough").limit(1).count():
+        return node_components(docs, Measure(measure.words, measure.num, measure.den, True, True))
+    wanted = _members(keyed, measure).select("node").distinct()
     chosen = common.keep(nodes.join(wanted, "node").select(F.col("doc_id").alias("id"), F.col("node").alias("want")), "chosen")
     count = chosen.count()
     if not count:
@@ -284,24 +341,34 @@ def node_components(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataF
     texts = docs.join(common.small(chosen, count), docs["doc_id"].eqNullSafe(chosen["id"])).select("text", "want")
     full = common.keep(common.over_texts(texts, whole, "node long, want long, set binary").filter("node = want").select("node", "set").dropDuplicates(["node"]), "full")
 
-    stars = common.keep(_verify(members.filter("a <> b").filter(n_ok).select("a", "b").distinct(), full, measure), "stars")
+    left = nodes.join(chosen.select(F.col("want").alias("node")), "node", "left_semi")
+    for single in (False, True):
+        again = Measure(measure.words, measure.num, measure.den, True, single)
+        # A node has all its shingles in each universe that it is in.
+        sized = left.select("node", "n", F.transform("sizes", lambda _: F.col("n")).alias("sizes"))
+        keyed = _counted(_all_tokens(full, again), sized, again)
+        if single or not keyed.filter("not enough").limit(1).count():
+            break
+    members = _members(keyed, measure)
+    pairs = members.filter(F.col("node") != F.col("node_b")).filter(measure.may("", "_b")).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    stars = common.keep(_verify(pairs, full, measure), "stars")
     linked = F.lit(measure.den) * F.col("both") >= F.lit(measure.num) * F.col("either")
     links = stars.filter(linked)
     comps = connected(links)
 
-    # Nodes of one key in different components; a star's distance is 1 where sizes alone rule the link out.
-    part = comps.select(F.col("node").alias("a"), "component")
-    far = 1 - F.col("both") / F.col("either")
-    placed = members.join(part, "a", "left").join(stars.select("a", "b", far.alias("d")), ["a", "b"], "left")
-    placed = placed.select("key", "a", "n", F.coalesce("component", "a").alias("component"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")).alias("d"), (F.col("a") == F.col("b")).alias("is_hub"))
+    # Nodes of one key in different components; d is the distance from the hub where it has been measured.
+    part = comps.select("node", "component")
+    far = stars.select(F.col("a").alias("node"), F.col("b").alias("node_b"), (1 - F.col("both") / F.col("either")).alias("d"))
+    placed = members.join(part, "node", "left").join(far, ["node", "node_b"], "left")
+    placed = placed.select("key", "node", "n", "alone", "small", F.coalesce("component", "node").alias("component"), "d", (F.col("node") == F.col("node_b")).alias("is_hub"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("key")
     rest = common.keep(placed.join(open_, "key").filter("not is_hub"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    y = rest.select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "alone", "small", "component", "d")))
     limit = 1 - measure.num / measure.den + 1e-9
-    apart = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= limit, F.lit(True))
-    sized = F.lit(measure.den) * F.least("x.n", "y.n") >= F.lit(measure.num) * F.greatest("x.n", "y.n")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.a") > F.col("y.a")) & (F.col("x.component") != F.col("y.component")) & apart & sized)
-    more = common.keep(more.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct(), "more")
+    apart = F.coalesce(F.abs(F.col("d") - F.col("d_y")) <= limit, F.lit(True))
+    more = rest.join(y, "key").filter((F.col("node") > F.col("node_y")) & (F.col("component") != F.col("component_y")) & apart & measure.may("", "_y"))
+    more = more.select(F.col("node").alias("a"), F.col("node_y").alias("b"))
+    more = common.keep(more.distinct(), "more")
     if more.limit(1).count():
         found = common.keep(_verify(more, full, measure).filter(linked), "found")
         if found.limit(1).count():
@@ -333,6 +400,7 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
 
 def one_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component; of repeated rows, all."""
-    stay = components(docs, words, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    stay = components(docs, words, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
     stay = common.keep(stay, "stay")
-    return docs.join(common.small(stay), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    rows = common.guarded(docs, "doc_id")
+    return rows.join(common.small(stay), rows["doc_id"].cast("long").eqNullSafe(stay["stays"]), "left_semi").toDF(*docs.columns)
