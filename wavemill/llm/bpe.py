@@ -162,7 +162,7 @@ def _reassemble(joined: DataFrame, ranks_path: str, out: dict, schema: str, make
 def _encoded(docs: DataFrame, ranks_path: str, block_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     parts = common.partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.only(docs, doc_id="long", text="string")
     name = f"wavemill_{uuid.uuid4().hex}"
     common.forget_table_at_exit(spark, name)
     # Bucketed by block, so that the words' ids come to the blocks and the blocks themselves are never shuffled.

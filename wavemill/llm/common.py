@@ -94,6 +94,17 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def guarded(df: DataFrame, *names: str) -> DataFrame:
+    """df with the first column of each of `names` as it is and all others named by place, so that nothing clashes."""
+    columns = df.columns
+    return df.toDF(*(c if c in names and c not in columns[:k] else f"__{k}" for k, c in enumerate(columns)))
+
+
+def only(df: DataFrame, **types: str) -> DataFrame:
+    """The named columns of df, cast, whatever else df holds (columns that differ in case, or a name twice)."""
+    return guarded(df, *types).select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

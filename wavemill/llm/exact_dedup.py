@@ -38,7 +38,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     where the group has no other. Repeated rows count in group_size, and all that carry keep_id are marked kept. An
     empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = common.only(docs, doc_id="long", text="string")
     base = common.keep(common.over_texts(docs, _heads, "doc_id long, text_sha256 string, head binary, ended boolean"), "heads")
     rows = base.select("doc_id", "text_sha256", F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("gid"), F.col("head").alias("digit"), "ended")
     settled: list[DataFrame] = []

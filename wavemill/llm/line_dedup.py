@@ -46,7 +46,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Variants are emitted only for lines that share their first or last half with another line, as lines within one edit
     do, and only of the other half. That loses no match.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = common.only(docs, doc_id="long", text="string")
     raw = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     forms = raw.select("doc_id", "n", _form(F.col("line")).alias("form")).filter(F.length("form") > 0)
     words, size = F.col("words"), F.size("words")
@@ -105,10 +105,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines of dropped_lines() cut from text, and two columns: n_lines and n_kept (lines that aren't blank).
 
     The other lines stay as they are, blank ones too, in their order; a text that loses all its lines becomes empty.
-    Null stays null with counts of 0. Other columns and rows stay, repeated rows each for itself.
+    Null stays null with counts of 0. Other columns and rows stay, repeated rows each for itself; columns of docs that
+    are named like the two counts are left out.
     """
+    names = docs.columns
     drops = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("n", "h")).alias("__drops"))
     drops = common.keep(drops, "drops")
+    docs = common.guarded(docs, "doc_id", "text")
     n_docs, n_lines = drops.agg(F.count("*"), F.sum(F.size("__drops"))).first()
     hint = F.broadcast(drops) if 32 * (n_docs + (n_lines or 0)) <= BROADCAST_BYTES else drops
     joined = docs.join(hint, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
@@ -116,7 +119,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = lambda line, n: F.array_contains("__drops", F.struct(n.alias("n"), F.xxhash64(_form(line)).alias("h")))
     kept = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(F.filter(rows, lambda line, n: ~gone(line, n)), "\n"))
     counted = lambda text: F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda line: F.length(_form(line)) > 0)), F.lit(0)).cast("long")
-    names = docs.columns
     out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(counted(F.col("text")))).withColumn("__kept", kept)
     out = out.withColumn("n_kept", F.when(F.col("__drops").isNull(), F.col("n_lines")).otherwise(counted(F.col("__kept"))))
-    return out.select(*(F.col("__kept").alias("text") if c == "text" else F.col(c) for c in names), "n_lines", "n_kept")
+    stay = [k for k, c in enumerate(names) if c.lower() not in ("n_lines", "n_kept")]
+    out = out.select(*(F.col("__kept" if docs.columns[k] == "text" else docs.columns[k]).alias(f"__c{k}") for k in stay), "n_lines", "n_kept")
+    return out.toDF(*(names[k] for k in stay), "n_lines", "n_kept")

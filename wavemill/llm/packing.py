@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
                 at = to
         return common.record(_PIECES | {"ids": pa.binary()}, *out) if with_ids else common.record(_PIECES, *out[:5])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.only(docs, doc_id="long", text="string")
     return common.over_texts(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

@@ -214,7 +214,7 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Candidates of docs(doc_id, text), base spans and loose ones: one row per row, however its text is."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.only(docs, doc_id="long", text="string")
     return common.over_texts(rows, _scan, _FOUND_SCHEMA)
 
 
@@ -245,7 +245,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     accepted = train(common.keep(scan(docs), "candidates")).accepted
     names = docs.columns
-    place = names.index("text")
+    docs = common.guarded(docs, "text")
+    place = docs.columns.index("text")
 
     def clean(text: str) -> str:
         spans = [(a, k, b) for a, k, b, strict, code in candidates(text) if strict or code in accepted]
@@ -264,4 +265,4 @@ def redact(docs: DataFrame) -> DataFrame:
         columns = [pa.array(texts, batch.schema.field(place).type) if n == place else batch.column(n) for n in range(len(names))]
         return pa.record_batch(columns, schema=batch.schema)
 
-    return common.over_texts(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return common.over_texts(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)).toDF(*names)

@@ -140,9 +140,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     docs(doc_id, text), labels(doc_id, quality 0 or 1). Rows are taken by hash of doc_id, whole texts only; null ids and
     labels of other values aren't used, and a row labelled twice counts by its smallest label. Scores see texts alone.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~in_fold("doc_id"))
+    known = common.only(labels, doc_id="long", quality="int").filter("doc_id is not null and quality in (0, 1)").filter(~in_fold("doc_id"))
     drawn = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = common.only(docs, doc_id="long", text="string").fillna("", "text")
     sample = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("draw"), F.octet_length("text").alias("size"))
     sample = common.keep(sample, "sample")
     chosen, total = [], 0
@@ -178,13 +178,13 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Empty tables give empty results; without usable labels every score is a half.
     """
-    scored = classify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels), ["doc_id"])
+    scored = classify(common.only(docs, doc_id="long", text="string"), train(docs, labels), ["doc_id"])
     return scored.select("doc_id", F.coalesce(in_fold("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected (predicted 0), with their columns."""
     names = docs.columns
-    placed = docs.toDF(*(f"c{k}" if c != "text" else c for k, c in enumerate(names)))  # score and predicted may be taken
+    placed = common.guarded(docs, "text")
     scored = classify(placed, train(docs, labels), placed.columns)
     return scored.filter("predicted = 1").drop("score", "predicted").toDF(*names)

@@ -151,9 +151,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     A group larger than an even share can't be split and has a shard of its own. Empty tables give an empty result.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = common.only(docs, doc_id="long", text="string")
+    text = F.coalesce("text", F.lit(""))
     salts = common.partitions(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("text_key"))
+    base = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("text_key"))
     base = common.keep(base, "sizes")
     bundle = F.pmod(F.xxhash64("text_key"), F.lit(BUNDLES)).cast("int")
     total = base.agg(F.sum("size")).first()[0] or 0

@@ -117,7 +117,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_by
     streams by, so a task holds one shard at most. Null text is empty (the end id alone). Repeated doc_ids are all
     stored; the index leads to the first. A null doc_id sorts first, is stored as 0 and isn't indexed.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.only(docs, doc_id="long", text="string")
 
     def shards(batches):
         encode = words.encoder(vocabulary)
@@ -214,7 +214,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     Keys that aren't stored, and nulls, give no row; repeated keys give a row each.
     """
     table = _directory(spark, path)
-    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    asked = common.only(keys, doc_id="long").filter("doc_id is not null")
     ranges = table.select("part", "shard", "first_id", "last_id").filter("first_id is not null")
     near = asked.join(common.small(ranges), (asked["doc_id"] >= ranges["first_id"]) & (asked["doc_id"] <= ranges["last_id"]))
     near = near.groupBy("part", "shard").agg(F.collect_list("doc_id").alias("asked"))

@@ -24,8 +24,7 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
 
     Rows that are null, hold a null or non-finite component, or have a null vec_id, take no part.
     """
-    x = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id is not null and x is not null")
+    rows = common.only(vectors, vec_id="long", embedding="array<double>").withColumnRenamed("embedding", "x").filter("vec_id is not null and x is not null")
     rows = rows.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     return rows.select("vec_id", F.transform("x", lambda v: F.floor(v * float(scale)).cast("long")).alias("v"))
 
