@@ -105,7 +105,7 @@ def _encode_words(sent: DataFrame, ranks_path: str) -> DataFrame:
                 yield common.record({"block": pa.int64(), "part": pa.int32(), "reply": pa.binary()}, [row["block"]], [row["part"]], [_pack(reply)])
 
     ordered = sent.repartition(common.partitions(sent.sparkSession), "part").sortWithinPartitions("part", "block")
-    return common.in_python(ordered, run, "block long, part int, reply binary")
+    return common.in_python(ordered, run, "block long, part int, reply binary", holds="ranks")
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -116,7 +116,22 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task under a key; only tasks that hold it leave it there."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def _let_go(holds: str | None) -> None:
+    for key in [k for k in _held if k[0] != holds]:
+        del _held[key]
+
+
+def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, holds: str | None = None) -> DataFrame:
     """fn over slices of BATCH_ROWS rows, so that long texts don't pile up in a worker."""
 
     def run(batches):
@@ -128,7 +143,7 @@ def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | It
                 else:
                     yield from out
 
-    return in_python(df, run, schema)
+    return in_python(df, run, schema, holds)
 
 
 _shipped: set[str] = set()
@@ -147,10 +162,18 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def in_python(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(fn, schema) with the package at hand on the executors."""
+def in_python(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, holds: str | None = None) -> DataFrame:
+    """df.mapInArrow(fn, schema) with the package at hand on the executors.
+
+    holds: what of held() the tasks use; a worker that comes to them from other work lets go of all else.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        _let_go(holds)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def record(schema: dict[str, pa.DataType], *columns) -> pa.RecordBatch:

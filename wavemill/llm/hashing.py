@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Longest stretch of text that is hashed at once; arrays of eight bytes a character stay at some 32 MB.
-BLOCK = 4 << 20
+#: Longest stretch of text that is hashed at once; arrays of eight bytes a character stay at some 8 MB.
+BLOCK = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -192,19 +192,24 @@ def _tokens(docs: DataFrame, measure: Measure) -> DataFrame:
     return common.in_python(docs.select("text"), run, "token long, node long")
 
 
-def keys_of(n: int, sizes: list[int], shared: list[tuple[int, int]], measure: Measure, levels: list[Level]) -> tuple[list[tuple[int, int, bool]], bool]:
+def keys_of(n: int, sizes: list[int], tokens: np.ndarray, rows: np.ndarray, measure: Measure, levels: list[Level]) -> tuple[list[tuple[int, int, bool]], bool]:
     """A node's keys, and whether they are enough: (key, tokens it has alone, in its prefix as the smaller of a pair).
 
-    shared: its tokens that other nodes have too, with their row counts.
+    tokens: those that other nodes have too, with their row counts.
     """
     keys: list[tuple[int, int, bool]] = []
     enough = True
+    level_of = tokens & 15
     for level, size in zip(measure.of(n, levels), sizes, strict=True):
-        mine = sorted({(c > RARE, c, t) for t, c in shared if t & 15 == level.number})
-        alone = size - len(mine)
+        mine = level_of == level.number
+        alone = size - int(np.count_nonzero(mine))
         need, need_small = measure.tau(n) + 1 - alone, measure.tau_small(n) + 1 - alone
+        if need <= 0:
+            continue
+        own, count = tokens[mine], rows[mine]
+        order = np.lexsort((own, count))
         classes: dict[int, list[int]] = {}
-        for frequent, _, token in mine:
+        for frequent, token in zip((count[order] > RARE).tolist(), own[order].tolist(), strict=True):
             if need <= 0:
                 break
             small = need_small > 0
@@ -235,17 +240,23 @@ def _keys(nodes: DataFrame, shared: DataFrame, measure: Measure) -> DataFrame:
     levels = measure.levels()
     lists = shared.groupBy("node").agg(F.collect_set(F.struct("token", "rows")).alias("shared"))
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                size = max(1, sum(row["sizes"]))
-                rank = -(1000 * (sum(s["rows"] for s in row["shared"]) + size - len(row["shared"])) // size)
-                keys, enough = keys_of(row["n"], row["sizes"], [(s["token"], s["rows"]) for s in row["shared"]], measure, levels)
-                rows += [(key, row["node"], row["n"], alone, small, rank, enough) for key, alone, small in (keys if enough else [(None, 0, True)])]
-            yield common.record(_KEYS, *(zip(*rows, strict=True) if rows else [[]] * len(_KEYS)))
-
-    return common.in_python(nodes.join(lists, "node").select("node", "n", "sizes", "shared"), run, "key long, node long, n long, alone long, small boolean, rank long, enough boolean")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
+        found = batch.column("shared")
+        flat = found.flatten()
+        tokens, counts = flat.field("token").to_numpy(zero_copy_only=False), flat.field("rows").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
+        at = 0
+        for node, n, sizes, end in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("sizes").to_pylist(), ends.tolist(), strict=True):
+            keys, enough = keys_of(n, sizes, tokens[at:end], counts[at:end], measure, levels)
+            if keys or not enough:
+                size = max(1, sum(sizes))
+                rank = -(1000 * (int(counts[at:end].sum()) + size - (end - at)) // size)
+                made += [(key, node, n, alone, small, rank, enough) for key, alone, small in (keys if enough else [(None, 0, True)])]
+            at = end
+        return common.record(_KEYS, *(zip(*made, strict=True) if made else [[]] * len(_KEYS)))
+
+    return common.over_texts(nodes.join(lists, "node").select("node", "n", "sizes", "shared"), run, "key long, node long, n long, alone long, small boolean, rank long, enough boolean")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -254,17 +265,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     out = {"a": pa.int64(), "b": pa.int64(), "both": pa.int64(), "either": pa.int64()}
 
-    def run(batches):
-        for batch in batches:
-            both, either = [], []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                both.append(n)
-                either.append(len(x) + len(y) - n)
-            yield common.record(out, batch.column("a"), batch.column("b"), both, either)
-
-    return common.in_python(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long, both long, either long")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both, either = [], []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            both.append(n)
+            either.append(len(x) + len(y) - n)
+        return common.record(out, batch.column("a"), batch.column("b"), both, either)
+
+    return common.over_texts(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long, both long, either long")
 
 
 def connected(links: DataFrame, most: int = 60) -> DataFrame:

@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
         return common.record(_PIECES | {"ids": pa.binary()}, *out) if with_ids else common.record(_PIECES, *out[:5])
 
     rows = common.only(docs, doc_id="long", text="string")
-    return common.over_texts(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return common.over_texts(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids, holds="encoder")
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:

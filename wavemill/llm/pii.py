@@ -42,6 +42,7 @@ _CONTEXT = {
     "card": re.compile(r"card|visa|credit|payment|tarjeta|karte|carte", re.I),
     "phone": re.compile(r"phone|\btel\b|\btel\.|call|fax|mobile|cell|tele|telef", re.I),
 }
+_OTHERWISE = re.compile(r"order|invoice|serial|\bref\b|\bpart\b|isbn|version", re.I)
 CONTEXT = 32
 
 #: A loose candidate becomes a span at this probability.
@@ -105,15 +106,21 @@ def _loose(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
 def _votes(text: str, start: int, kind: int, end: int, strict: bool) -> int:
     """The labelers' votes as one number: a digit to base 3 each (0 against, 1 abstains, 2 for)."""
     span = text[start:end]
-    pattern = 2 if strict else 0
+    pattern = 2 if strict else 1
     if kind == 0:
         listed = 2 if re.split(r"[.\])\s]", span)[-1].lower() in _DOMAINS else 0
     elif kind == 1:
         listed = 1 if span.startswith(("0.", "255.")) else 2
     else:
         digits = "".join(c for c in span if c in "0123456789")
-        listed = (2 if digits.startswith(_ISSUERS) else 0) if kind == 2 else (2 if digits.startswith(_CALLING) and strict else 1)
-    context = 2 if _CONTEXT[KINDS[kind]].search(text, max(0, start - CONTEXT), start) else 1
+        if kind == 2:
+            listed = 2 if digits.startswith(_ISSUERS) else 0
+        elif strict:
+            listed = 2 if digits.startswith(_CALLING) else 0
+        else:
+            listed = 0 if digits[0] in "01" else 1  # no area code starts so
+    near = max(0, start - CONTEXT), start
+    context = 2 if _CONTEXT[KINDS[kind]].search(text, *near) else 0 if _OTHERWISE.search(text, *near) else 1
     return pattern + 3 * listed + 9 * context
 
 

@@ -139,7 +139,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_by
             yield common.record(_SHARD, *([v] for v in _shard(part, number, width, keys, parts)))
 
     ordered = rows.repartitionByRange(common.partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    common.in_python(ordered, shards, SCHEMA).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    common.in_python(ordered, shards, SCHEMA, holds="encoder").write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 class Shard:

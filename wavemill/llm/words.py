@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-from wavemill.llm import hashing
+from wavemill.llm import common, hashing
 
 #: Splits a text into pre-tokens; its matches cover every character.
 PATTERN = public_tokenizers.PATTERN
@@ -96,8 +96,8 @@ class Encoder:
     Texts that aren't plain go through Payloads one by one.
     """
 
-    #: Distinct pre-tokens that are remembered (some 40 bytes each); beyond that it starts over.
-    MOST = 3_000_000
+    #: Distinct pre-tokens that are remembered (some 50 bytes each); beyond that it starts over.
+    MOST = 2_000_000
 
     def __init__(self, path: str):
         self.one = Payloads(path, 4)
@@ -109,7 +109,7 @@ class Encoder:
     def clear(self) -> None:
         self.bits, self.count = 16, 0
         self.keys, self.entry = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-        self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 15, np.uint32), np.zeros(1 << 15, np.uint32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ class Encoder:
         flat = np.array([i for w in ids for i in w], np.uint32)
         n, more = self.count + len(ids), self.used + len(flat)
         if n > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(n, np.uint32)]) for x in (self.starts, self.sizes))
         if more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(more, np.uint32)])
         self.flat[self.used : more] = flat
@@ -169,7 +169,7 @@ class Encoder:
         found = self._find(hashes)
         new = np.flatnonzero(found < 0)
         if len(new):
-            if self.count > self.MOST:
+            if self.count > self.MOST or self.used > 1 << 28:
                 self.clear()
                 return self._plain(text, starts)
             distinct, first = np.unique(hashes[new], return_index=True)
@@ -178,7 +178,7 @@ class Encoder:
             raw = text.tobytes()
             self._learn(distinct, [raw[a:b] for a, b in zip(starts[at].tolist(), ends, strict=True)])
             found[new] = self._find(hashes[new])
-        n = self.sizes[found]
+        n = self.sizes[found].astype(np.int64)
         ends = np.cumsum(n)
         at = np.arange(int(ends[-1]), dtype=np.int64)
         at += np.repeat(self.starts[found] - (ends - n), n)
@@ -223,14 +223,11 @@ class Encoder:
         return out
 
 
-_cached: dict[tuple, object] = {}
 
 
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""
-    if ("encoder", path) not in _cached:
-        _cached["encoder", path] = Encoder(path)
-    return _cached["encoder", path]
+    return common.held(("encoder", path), lambda: Encoder(path))
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -241,8 +238,6 @@ def ranks(path: str) -> dict[bytes, int]:
 
 def rank_encoding(path: str):
     """The tiktoken encoding of a .tiktoken file, without special tokens; one per worker process."""
-    if ("ranks", path) not in _cached:
-        import tiktoken
+    import tiktoken
 
-        _cached["ranks", path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
-    return _cached["ranks", path]
+    return common.held(("ranks", path), lambda: tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={}))
