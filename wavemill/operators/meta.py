@@ -11,6 +11,9 @@ from wavemill.functions import bits
 FIELDS = ("title", "artist", "album", "year", "comment", "track", "genre")
 VORBIS = {"TITLE": "title", "ARTIST": "artist", "ALBUM": "album", "DATE": "year", "COMMENT": "comment", "TRACKNUMBER": "track", "GENRE": "genre"}
 
+#: Named encoder settings; variable-rate qualities are in tenths, constant rates in kbit/s.
+PRESETS = {"medium": ("vbr", 40), "standard": ("vbr", 20), "extreme": ("vbr", 0), "insane": ("cbr", 320)}
+
 #: Bytes of art from which a v2 tag is written in any case, and from which a note is due.
 LARGE_ART, NOTED_ART = 128 * 1024, 512 * 1024
 
@@ -93,15 +96,11 @@ def admission(estimate: Column, available: Column | int) -> Column:
 
 def preset(name: Column) -> Column:
     """Encoder settings of a preset, a struct of mode and value; null for an unknown one."""
-    rate = F.expr("try_cast(__name AS INT)") if name is None else name.try_cast("int")
-    named = F.struct
-    return (
-        F.when(name == "medium", named(F.lit("vbr").alias("mode"), F.lit(40).alias("value")))
-        .when(name == "standard", named(F.lit("vbr").alias("mode"), F.lit(20).alias("value")))
-        .when(name == "extreme", named(F.lit("vbr").alias("mode"), F.lit(0).alias("value")))
-        .when(name == "insane", named(F.lit("cbr").alias("mode"), F.lit(320).alias("value")))
-        .when(rate.between(8, 320), named(F.lit("abr").alias("mode"), rate.alias("value")))
-    )
+    rate = name.try_cast("int")
+    out = F.when(rate.between(8, 320), F.struct(F.lit("abr").alias("mode"), rate.alias("value")))
+    for preset_name, (mode, value) in PRESETS.items():
+        out = out.when(name == preset_name, F.struct(F.lit(mode).alias("mode"), F.lit(value).alias("value")))
+    return out
 
 
 def shown_quality(mode: Column, quality: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.signal import ratio
@@ -12,11 +12,9 @@ def bench_stats(runs: DataFrame, key: list[str], audio: float, threads: int) ->
     """One row a key from runs(run, wall, cpu, st_fallback).
 
     Fallback runs and, of several, the first don't count; where none is left the last run stands in, and is_fallback
-    says whether it was one. Processor figures are those of the fastest run, the first of equals. One aggregation:
-    rows are only shuffled for the median, which needs them all.
+    says whether it was one. Processor figures are those of the fastest run, the first of equals. The windows and the
+    aggregation share one shuffle by key.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*key)
     several = F.count("*").over(w) > 1
     first, last = F.min("run").over(w), F.max("run").over(w)
