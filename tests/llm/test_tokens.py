@@ -149,7 +149,7 @@ def test_bpe_edges(spark, edge, nothing):
     rows = bpe.encode(edge, RANKS).collect()
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), bytes(r["text"])) for r in rows) == sorted(((i is None, i or 0), (t or "").encode()) for i, t in EDGE)
     assert bpe.encode(nothing, RANKS).count() == 0
-    back = bpe.decode(spark, bpe.encode(edge, RANKS).select("doc_id", "ids"), RANKS)
+    back = bpe.decode(bpe.encode(edge, RANKS).select("doc_id", "ids"), RANKS)
     assert sorted(bytes(r["text"]) for r in back.collect()) == sorted((t or "").encode() for _, t in EDGE)
-    assert bpe.decode(spark, spark.createDataFrame([(1, bytearray(b"\xff\xff\xff\x7f")), (2, None)], "doc_id long, ids binary"), RANKS).orderBy("doc_id").collect() == [(1, None), (2, b"")]
+    assert bpe.decode(spark.createDataFrame([(1, bytearray(b"\xff\xff\xff\x7f")), (2, None)], "doc_id long, ids binary"), RANKS).orderBy("doc_id").collect() == [(1, None), (2, b"")]
     assert LONG

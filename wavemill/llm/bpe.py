@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import common, words
@@ -90,7 +90,7 @@ def _encode_words(sent: DataFrame, ranks_path: str) -> DataFrame:
     """
 
     def run(batches):
-        encode = words.rank_encoding(ranks_path).encode_single_piece if hasattr(words.rank_encoding(ranks_path), "encode_single_piece") else words.rank_encoding(ranks_path).encode_ordinary
+        encode = words.rank_encoding(ranks_path).encode_ordinary  # a pre-token alone is split no further
         known: dict[bytes, bytes] = {}
         last = None
         for batch in batches:
@@ -196,11 +196,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, block_bytes: int = BLOCK_BYT
     return _reassemble(_encoded(docs, ranks_path, block_bytes), ranks_path, out, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
 
 
-def decode(spark: SparkSession, tokens: DataFrame, ranks_path: str) -> DataFrame:
-    """tokens(doc_id, ids binary) to (doc_id, text binary): positions exploded, joined with the token-byte table, and
-    put together again. An id without an entry in the table makes its document's text null; null ids are empty."""
-    rows = tokens.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids"))
-    ship_out = {"doc_id": pa.int64(), "text": pa.binary()}
+def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
+    """tokens(doc_id, ids binary) to (doc_id, text binary), by the token-byte table, which each worker holds (its size is
+    the vocabulary's). An id without an entry makes its document's text null; null ids are empty."""
+    rows = common.only(tokens, doc_id="long", ids="binary").withColumn("ids", F.coalesce("ids", F.lit(b"")))
+    out = {"doc_id": pa.int64(), "text": pa.binary()}
 
     def run(batches):
         table = {rank: piece for piece, rank in words.ranks(ranks_path).items()}
@@ -209,6 +209,6 @@ def decode(spark: SparkSession, tokens: DataFrame, ranks_path: str) -> DataFrame
             for ids in batch.column("ids").to_pylist():
                 found = [table.get(i) for i in np.frombuffer(ids, "<u4").tolist()]
                 texts.append(None if None in found else b"".join(found))
-            yield common.record(ship_out, batch.column("doc_id").to_pylist(), texts)
+            yield common.record(out, batch.column("doc_id").to_pylist(), texts)
 
     return common.in_python(rows, run, "doc_id long, text binary")
