@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -81,8 +82,10 @@ def _at_exit() -> None:
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
+            elif (local := path.removeprefix("file://")).startswith("/"):  # Spark has been stopped already
+                shutil.rmtree(local, ignore_errors=True)
+        except Exception:  # noqa: BLE001  the JVM may be gone
+            continue
 
 
 atexit.register(_at_exit)

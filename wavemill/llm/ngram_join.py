@@ -396,15 +396,22 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     doc_id is never a component's smallest unless all are null. An empty table gives an empty result.
     """
     sets, _, comps = node_components(docs, Measure(words, num, den))
-    classes = sets.filter("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("smallest"))
+    classes = sets.filter("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("m"))
     if comps is not None:
         named = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         lowest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
         joined = named.filter(F.col("node") != F.col("component")).select("component").distinct()
         # Only components of several nodes need their smallest document looked up.
         several = named.join(joined, "component").join(lowest, "component").select("node", "twin", "component_id")
-        classes = classes.join(several, ["node", "twin"], "left").select("node", "twin", F.coalesce("component_id", "smallest").alias("smallest"))
-    out = sets.join(classes, (sets["node"] == classes["node"]) & (sets["twin"] == classes["twin"]) & (sets["n"] > 0), "left")
+        classes = classes.join(several, ["node", "twin"], "left").select("node", "twin", F.coalesce("component_id", "smallest").alias("smallest"), "m")
+    # Sets of more rows than a task's even share, of which there are at most as many as partitions, are broadcast: their
+    # rows stay where they are and don't meet in one task.
+    classes = common.keep(classes, "classes")
+    total, parts = sets.count(), common.partitions(docs.sparkSession)
+    hot = classes.filter(F.col("m") * parts > total).select("node", "twin", "smallest")
+    rest = classes.filter(F.col("m") * parts <= total).select("node", "twin", "smallest")
+    row = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "twin")
+    out = row.join(F.broadcast(hot), ["node", "twin"]).unionByName(row.join(F.broadcast(hot), ["node", "twin"], "left_anti").join(rest, ["node", "twin"], "left"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
