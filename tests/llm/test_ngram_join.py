@@ -44,10 +44,11 @@ def altered(rng, base, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("single", [False, True])
-def test_groups_of_altered_copies_and_shared_passages(spark, single, monkeypatch):
-    if single:  # frequent tokens make pairs from three rows on
-        monkeypatch.setattr(ngram_join, "RARE", 2)
+@pytest.mark.parametrize("rare, probe, hot", [(32, 64, 64), (2, 64, 64), (32, 1, 3), (2, 1, 12)])
+def test_groups_of_altered_copies_and_shared_passages(spark, rare, probe, hot, monkeypatch):
+    """Pairs of frequent tokens from a few rows on, and hot tokens from a few nodes on."""
+    for name, value in (("RARE", rare), ("PROBE", probe), ("HOT_ROWS", hot)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(3)
     bases = [[f"b{k}x{rng.randrange(400)}" for _ in range(n)] for k, n in enumerate((12, 60, 150, 420))]
     passage = " ".join(f"p{k}" for k in range(50))

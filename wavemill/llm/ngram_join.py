@@ -13,6 +13,9 @@ has are a class that needs no index, tokens of up to RARE rows are single keys,
 over small classes of pairs; the order goes from rare to frequent. So a passage that many documents hold is hardly ever
 in a prefix, and where it is, it takes two of its tokens to make a key.
 
+Tokens that a large share of nodes have are told beforehand by the nodes whose digest falls in a fixed share. They count
+as the most frequent ones and skip the counting, so that their rows, spread by node, never meet in one task.
+
 This is done twice. First for all nodes, in universes that hold just as many shingles as prefixes need; nodes that share
 no key are done. Then for the nodes that are left, with all of their shingles, counted among themselves: what tells
 altered copies apart is rare there, so that prefixes of those that aren't linked hardly reach what they have in common.
@@ -39,6 +42,10 @@ from wavemill.llm import common, hashing
 #: Tokens of at most so many rows are single keys.
 RARE = 32
 
+#: One node in PROBE shows which tokens are hot: those of at least HOT_ROWS of them, and of one in HOT_SHARE. So there are
+#: at most HOT_SHARE times as many hot tokens as an average node has tokens. ROWS is the row count they are given.
+PROBE, HOT_ROWS, HOT_SHARE, ROWS = 64, 64, 500, 1 << 40
+
 #: Sizes of sets below which nodes share a universe, for the first; each later one spans GROWTH times as much.
 FIRST, GROWTH, LEVELS = 16, 4, 16
 
@@ -134,7 +141,7 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-_SETS = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "twin": pa.int64(), "sizes": pa.list_(pa.int64())}
+_SETS = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "twin": pa.int64(), "sizes": pa.list_(pa.int64()), "probe": pa.list_(pa.int64())}
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -145,16 +152,34 @@ def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
     levels = measure.levels()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, node, twin, sizes = [], [], [], []
+        n, node, twin, sizes, probe = [], [], [], [], []
         for found in shingles(common.blobs(batch.column("text")), measure.words):
             a, b = _digest(found)
             n.append(len(found))
             node.append(a)
             twin.append(b)
-            sizes.append([int(np.searchsorted(found, np.uint64(v.bound))) if v.bound < 1 << 64 else len(found) for v in measure.of(len(found), levels)])
-        return common.record(_SETS, batch.column("doc_id"), n, node, twin, sizes)
+            of = measure.of(len(found), levels)
+            sizes.append([int(np.searchsorted(found, np.uint64(v.bound))) if v.bound < 1 << 64 else len(found) for v in of])
+            probe.append(np.concatenate([_marked(found, v).view(np.int64) for v in of]) if of and b % PROBE == 0 else None)
+        return common.record(_SETS, batch.column("doc_id"), n, node, twin, sizes, probe)
+
+    return common.over_texts(docs, run, "doc_id long, n long, node long, twin long, sizes array<long>, probe array<long>")
+
+
+def _hot(nodes: DataFrame) -> np.ndarray:
+    """The hot tokens, sorted, by nodes(probe): few enough to send to every task."""
+    probes = nodes.filter("probe is not null").select("probe")
+    least = max(HOT_ROWS, -(-probes.count() // HOT_SHARE))
+    found = probes.select(F.explode("probe").alias("token")).groupBy("token").count().filter(F.col("count") >= least)
+    return np.array(sorted(r["token"] for r in found.select("token").collect()), np.int64)
 
-    return common.over_texts(docs, run, "doc_id long, n long, node long, twin long, sizes array<long>")
+
+def _salted(tokens: np.ndarray, node: int, hot: np.ndarray) -> np.ndarray:
+    """0, or for hot tokens a salt of the node."""
+    if not len(hot):
+        return np.zeros(len(tokens), np.int32)
+    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+    return np.where(hot[at] == tokens, 1 + (node & 0xFFFF), 0).astype(np.int32)
 
 
 def _marked(found: np.ndarray, level: Level) -> np.ndarray:
@@ -164,16 +189,18 @@ def _marked(found: np.ndarray, level: Level) -> np.ndarray:
     return (mixed & ~np.uint64(15)) | np.uint64(level.number)
 
 
-def _tokens(docs: DataFrame, measure: Measure) -> DataFrame:
-    """(token, node) of every node, once a task at least; a token's last four bits are its level."""
+_TOKENS = {"token": pa.int64(), "salt": pa.int32(), "node": pa.int64()}
+
+
+def _tokens(docs: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame:
+    """Rows of _TOKENS of every node, once a task at least; a token's last four bits are its level."""
     levels = measure.levels()
-    out = {"token": pa.int64(), "node": pa.int64()}
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, common.BATCH_ROWS):
-                tokens, nodes = [], []
+                tokens, salts, nodes = [], [], []
                 for found in shingles(common.blobs(batch.slice(at, common.BATCH_ROWS).column("text")), measure.words):
                     of = measure.of(len(found), levels)
                     if not of:
@@ -184,15 +211,16 @@ def _tokens(docs: DataFrame, measure: Measure) -> DataFrame:
                     seen.add(node)
                     for v in of:
                         mine = found[: np.searchsorted(found, np.uint64(v.bound))] if v.bound < 1 << 64 else found
-                        tokens.append(_marked(mine, v))
+                        tokens.append(_marked(mine, v).view(np.int64))
+                        salts.append(_salted(tokens[-1], node, hot))
                         nodes.append(np.full(len(mine), node, np.int64))
                 if tokens:
-                    yield common.record(out, np.concatenate(tokens).view(np.int64), np.concatenate(nodes))
+                    yield common.record(_TOKENS, np.concatenate(tokens), np.concatenate(salts), np.concatenate(nodes))
 
-    return common.in_python(docs.select("text"), run, "token long, node long")
+    return common.in_python(docs.select("text"), run, "token long, salt int, node long")
 
 
-def keys_of(n: int, sizes: list[int], tokens: np.ndarray, rows: np.ndarray, measure: Measure, levels: list[Level]) -> tuple[list[tuple[int, int, bool]], bool]:
+def keys_of(n: int, sizes: list[int], tokens: np.ndarray, rows: np.ndarray, measure: Measure, levels: list[Level], rare: int = RARE) -> tuple[list[tuple[int, int, bool]], bool]:
     """A node's keys, and whether they are enough: (key, tokens it has alone, in its prefix as the smaller of a pair).
 
     tokens: those that other nodes have too, with their row counts.
@@ -209,7 +237,7 @@ def keys_of(n: int, sizes: list[int], tokens: np.ndarray, rows: np.ndarray, meas
         own, count = tokens[mine], rows[mine]
         order = np.lexsort((own, count))
         classes: dict[int, list[int]] = {}
-        for frequent, token in zip((count[order] > RARE).tolist(), own[order].tolist(), strict=True):
+        for frequent, token in zip((count[order] > rare).tolist(), own[order].tolist(), strict=True):
             if need <= 0:
                 break
             small = need_small > 0
@@ -237,7 +265,7 @@ def _keys(nodes: DataFrame, shared: DataFrame, measure: Measure) -> DataFrame:
 
     rank is low for a node whose tokens are frequent on average, those of its own counting 1.
     """
-    levels = measure.levels()
+    levels, rare = measure.levels(), RARE
     lists = shared.groupBy("node").agg(F.collect_set(F.struct("token", "rows")).alias("shared"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -248,10 +276,10 @@ def _keys(nodes: DataFrame, shared: DataFrame, measure: Measure) -> DataFrame:
         ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
         at = 0
         for node, n, sizes, end in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("sizes").to_pylist(), ends.tolist(), strict=True):
-            keys, enough = keys_of(n, sizes, tokens[at:end], counts[at:end], measure, levels)
+            keys, enough = keys_of(n, sizes, tokens[at:end], counts[at:end], measure, levels, rare)
             if keys or not enough:
                 size = max(1, sum(sizes))
-                rank = -(1000 * (int(counts[at:end].sum()) + size - (end - at)) // size)
+                rank = -(1000 * (int(np.minimum(counts[at:end], 1 << 20).sum()) + size - (end - at)) // size)
                 made += [(key, node, n, alone, small, rank, enough) for key, alone, small in (keys if enough else [(None, 0, True)])]
             at = end
         return common.record(_KEYS, *(zip(*made, strict=True) if made else [[]] * len(_KEYS)))
@@ -301,10 +329,11 @@ def connected(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _counted(tokens: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
-    """Keys of nodes(node, n, sizes) from tokens(token, node)."""
-    by_token = Window.partitionBy("token")
-    counted = tokens.select("token", "node", F.count("*").over(by_token).alias("rows"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
-    shared = common.keep(counted.filter("lo <> hi").select("token", "node", "rows"), "shared")
+    """Keys of nodes(node, n, sizes) from rows of _TOKENS."""
+    by_token = Window.partitionBy("token", "salt")
+    counted = tokens.select("token", "salt", "node", F.count("*").over(by_token).alias("rows"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
+    shared = counted.filter("lo <> hi or salt > 0").select("token", "node", F.when(F.col("salt") > 0, ROWS).otherwise(F.col("rows")).alias("rows"))
+    shared = common.keep(shared, "shared")
     return common.keep(_keys(nodes, shared, measure), "keys")
 
 
@@ -315,27 +344,28 @@ def _members(keyed: DataFrame, measure: Measure) -> DataFrame:
     return common.keep(keyed.join(several, "key").select("key", "node", "n", "alone", "small", "node_b", "n_b", "alone_b", "small_b"), "members")
 
 
-def _all_tokens(full: DataFrame, measure: Measure) -> DataFrame:
-    """(token, node) of full(node, set), all shingles of each."""
+def _all_tokens(full: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame:
+    """Rows of _TOKENS of full(node, set), all shingles of each."""
     levels = measure.levels()
-    out = {"token": pa.int64(), "node": pa.int64()}
 
     def run(batches):
         for batch in batches:
             for node, data in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist(), strict=True):
                 found = np.frombuffer(data, "<u8")
                 for v in measure.of(len(found), levels):
-                    yield common.record(out, _marked(found, v).view(np.int64), np.full(len(found), node, np.int64))
+                    tokens = _marked(found, v).view(np.int64)
+                    yield common.record(_TOKENS, tokens, _salted(tokens, node, hot), np.full(len(found), node, np.int64))
 
-    return common.in_python(full, run, "token long, node long")
+    return common.in_python(full, run, "token long, salt int, node long")
 
 
 def node_components(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(sets of all rows, links(a, b, both, either), components(node, component)); the last two None without links."""
     docs = _texts(docs)
     sets = common.keep(_sets(docs, measure), "sets")
-    nodes = common.keep(sets.filter(F.size("sizes") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sizes").alias("sizes")), "nodes")
-    keyed = _counted(_tokens(docs, measure), nodes, measure)
+    nodes = common.keep(sets.filter(F.size("sizes") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.first("probe").alias("probe")), "nodes")
+    hot = _hot(nodes)
+    keyed = _counted(_tokens(docs, measure, hot), nodes, measure)
     if not measure.single and keyed.filter("not enough").limit(1).count():
         return node_components(docs, Measure(measure.words, measure.num, measure.den, True, True))
     wanted = _members(keyed, measure).select("node").distinct()
@@ -356,7 +386,7 @@ def node_components(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataF
         again = Measure(measure.words, measure.num, measure.den, True, single)
         # A node has all its shingles in each universe that it is in.
         sized = left.select("node", "n", F.transform("sizes", lambda _: F.col("n")).alias("sizes"))
-        keyed = _counted(_all_tokens(full, again), sized, again)
+        keyed = _counted(_all_tokens(full, again, hot), sized, again)
         if single or not keyed.filter("not enough").limit(1).count():
             break
     members = _members(keyed, measure)
@@ -410,9 +440,10 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     total, parts = sets.count(), common.partitions(docs.sparkSession)
     hot = classes.filter(F.col("m") * parts > total).select("node", "twin", "smallest")
     rest = classes.filter(F.col("m") * parts <= total).select("node", "twin", "smallest")
-    row = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "twin")
-    out = row.join(F.broadcast(hot), ["node", "twin"]).unionByName(row.join(F.broadcast(hot), ["node", "twin"], "left_anti").join(rest, ["node", "twin"], "left"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    row = sets.filter("n > 0").select("doc_id", "n", "node", "twin")
+    out = row.join(F.broadcast(hot), ["node", "twin"]).unionByName(row.join(F.broadcast(hot), ["node", "twin"], "left_anti").join(rest, ["node", "twin"]))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    return out.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
