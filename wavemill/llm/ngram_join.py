@@ -160,7 +160,7 @@ def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
             twin.append(b)
             of = measure.of(len(found), levels)
             sizes.append([int(np.searchsorted(found, np.uint64(v.bound))) if v.bound < 1 << 64 else len(found) for v in of])
-            probe.append(np.concatenate([_marked(found, v).view(np.int64) for v in of]) if of and b % PROBE == 0 else None)
+            probe.append(np.concatenate([_salted(_marked(found, v).view(np.int64), 0, np.zeros(0, np.int64)) for v in of]) if of and b % PROBE == 0 else None)
         return common.record(_SETS, batch.column("doc_id"), n, node, twin, sizes, probe)
 
     return common.over_texts(docs, run, "doc_id long, n long, node long, twin long, sizes array<long>, probe array<long>")
@@ -175,11 +175,18 @@ def _hot(nodes: DataFrame) -> np.ndarray:
 
 
 def _salted(tokens: np.ndarray, node: int, hot: np.ndarray) -> np.ndarray:
-    """0, or for hot tokens a salt of the node."""
+    """Tokens as they are counted: a hot one by its number among them, with a salt of the node and its level.
+
+    Those have eight set bits in front, which no other token has: 0xFF, number (36 bits), salt (16), level (4).
+    """
+    front = np.int64(-1 << 56)
+    taken = (tokens >= front) & (tokens < 0)
+    tokens = np.where(taken, tokens & np.int64((1 << 56) - 1), tokens)
     if not len(hot):
-        return np.zeros(len(tokens), np.int32)
+        return tokens
     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-    return np.where(hot[at] == tokens, 1 + (node & 0xFFFF), 0).astype(np.int32)
+    named = front | (at.astype(np.int64) << np.int64(20)) | np.int64((node & 0xFFFF) << 4) | (tokens & np.int64(15))
+    return np.where(hot[at] == tokens, named, tokens)
 
 
 def _marked(found: np.ndarray, level: Level) -> np.ndarray:
@@ -189,7 +196,7 @@ def _marked(found: np.ndarray, level: Level) -> np.ndarray:
     return (mixed & ~np.uint64(15)) | np.uint64(level.number)
 
 
-_TOKENS = {"token": pa.int64(), "salt": pa.int32(), "node": pa.int64()}
+_TOKENS = {"token": pa.int64(), "node": pa.int64()}
 
 
 def _tokens(docs: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame:
@@ -200,7 +207,7 @@ def _tokens(docs: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, common.BATCH_ROWS):
-                tokens, salts, nodes = [], [], []
+                tokens, nodes = [], []
                 for found in shingles(common.blobs(batch.slice(at, common.BATCH_ROWS).column("text")), measure.words):
                     of = measure.of(len(found), levels)
                     if not of:
@@ -211,13 +218,12 @@ def _tokens(docs: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame:
                     seen.add(node)
                     for v in of:
                         mine = found[: np.searchsorted(found, np.uint64(v.bound))] if v.bound < 1 << 64 else found
-                        tokens.append(_marked(mine, v).view(np.int64))
-                        salts.append(_salted(tokens[-1], node, hot))
+                        tokens.append(_salted(_marked(mine, v).view(np.int64), node, hot))
                         nodes.append(np.full(len(mine), node, np.int64))
                 if tokens:
-                    yield common.record(_TOKENS, np.concatenate(tokens), np.concatenate(salts), np.concatenate(nodes))
+                    yield common.record(_TOKENS, np.concatenate(tokens), np.concatenate(nodes))
 
-    return common.in_python(docs.select("text"), run, "token long, salt int, node long")
+    return common.in_python(docs.select("text"), run, "token long, node long")
 
 
 def keys_of(n: int, sizes: list[int], tokens: np.ndarray, rows: np.ndarray, measure: Measure, levels: list[Level], rare: int = RARE) -> tuple[list[tuple[int, int, bool]], bool]:
@@ -245,7 +251,7 @@ def keys_of(n: int, sizes: list[int], tokens: np.ndarray, rows: np.ndarray, meas
                 keys.append((token, alone, small))
                 counts = 1
             else:
-                members = classes.setdefault(((token & (2**64 - 1)) >> 4) % level.classes, [])
+                members = classes.setdefault((((token * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 32) % level.classes, [])
                 for other in members:
                     x = ((token ^ 0x5851F42D4C957F2D) * (other | 1) + (other ^ token) * 0x14057B7EF767814F + (other + token)) & (2**64 - 1)
                     x = ((x ^ (x >> 31)) * 0x7FB5D329728EA185) & (2**64 - 1)
@@ -330,9 +336,12 @@ def connected(links: DataFrame, most: int = 60) -> DataFrame:
 
 def _counted(tokens: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """Keys of nodes(node, n, sizes) from rows of _TOKENS."""
-    by_token = Window.partitionBy("token", "salt")
-    counted = tokens.select("token", "salt", "node", F.count("*").over(by_token).alias("rows"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
-    shared = counted.filter("lo <> hi or salt > 0").select("token", "node", F.when(F.col("salt") > 0, ROWS).otherwise(F.col("rows")).alias("rows"))
+    by_token = Window.partitionBy("token")
+    counted = tokens.select("token", "node", F.count("*").over(by_token).alias("rows"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
+    is_hot, unsalted = F.col("token") >= (-1 << 56), F.col("token").bitwiseAND(F.lit(~(0xFFFF << 4)))
+    is_hot = is_hot & (F.col("token") < 0)
+    shared = counted.filter((F.col("lo") != F.col("hi")) | is_hot)
+    shared = shared.select(F.when(is_hot, unsalted).otherwise(F.col("token")).alias("token"), "node", F.when(is_hot, ROWS).otherwise(F.col("rows")).alias("rows"))
     shared = common.keep(shared, "shared")
     return common.keep(_keys(nodes, shared, measure), "keys")
 
@@ -353,10 +362,9 @@ def _all_tokens(full: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame
             for node, data in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist(), strict=True):
                 found = np.frombuffer(data, "<u8")
                 for v in measure.of(len(found), levels):
-                    tokens = _marked(found, v).view(np.int64)
-                    yield common.record(_TOKENS, tokens, _salted(tokens, node, hot), np.full(len(found), node, np.int64))
+                    yield common.record(_TOKENS, _salted(_marked(found, v).view(np.int64), node, hot), np.full(len(found), node, np.int64))
 
-    return common.in_python(full, run, "token long, salt int, node long")
+    return common.in_python(full, run, "token long, node long")
 
 
 def node_components(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
