@@ -83,3 +83,37 @@ def test_columns_clash(edge):
 def test_long_chains_become_one_component(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["component"] for r in ngram_join.connected(links).collect()} == {k: 0 for k in range(1, 41)} | {101: 100}
+
+
+def brute_links(rows, words, num, den):
+    """Rows of another set that each row is linked with, over all pairs."""
+    sets = []
+    for _, t in rows:
+        found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(found[k : k + words]) for k in range(len(found) - words + 1)} or ({tuple(found)} if found else set()))
+    near = lambda x, y: x != y and bool(x & y) and den * len(x & y) >= num * len(x | y)
+    return sorted((i, sum(near(x, y) for y in sets)) for (i, _), x in zip(rows, sets, strict=True))
+
+
+@pytest.mark.parametrize("nodes, slab", [(256, 4096), (7, 50)])
+def test_every_link_is_counted(spark, nodes, slab, monkeypatch):
+    """Links within a component too, between members that aren't its hub, and to every row of a repeated text."""
+    monkeypatch.setattr(ngram_join, "PART_NODES", nodes)
+    monkeypatch.setattr(ngram_join, "SLAB", slab)
+    rng = random.Random(5)
+    bases = [[f"b{k}x{rng.randrange(400)}" for _ in range(n)] for k, n in enumerate((20, 60, 150))]
+    texts = [altered(rng, b, rng.randrange(len(b) // 12)) for b in bases for _ in range(40)]
+    rows = list(enumerate([*texts, *texts[::5], texts[45], texts[45].upper(), "alone in here with its own words", "", None]))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = ngram_join.components(df, 4, 85, 100)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    want = brute_links(rows, 4, 85, 100)
+    assert sum(n for _, n in want) > 2 * len(rows)
+    assert sorted((r["doc_id"], r["n_links"]) for r in out.collect()) == want
+    assert result(out) == brute(rows, 4, 85, 100)
+
+
+def test_links_of_small_table(small, small_rows):
+    got = sorted((r["doc_id"], r["n_links"]) for r in ngram_join.components(small, 5, 80, 100).collect())
+    assert got == brute_links(small_rows, 5, 80, 100)

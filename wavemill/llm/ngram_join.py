@@ -24,6 +24,10 @@ Links. Nodes of one key are first verified against the key's hub only, its node
 original of a group of altered copies rather than one of them): copies meet in a few links, never in all pairs. Only nodes of one key that are still in different components are then compared with each other, unless the
 triangle inequality of the Jaccard distance, by way of the hub, rules a link out. No link that could join two
 components is left out.
+
+These links only span the components. Where links are to be counted, all pairs of nodes of one component are compared,
+since no link leaves a component: a component is cut into parts, and each two parts are one tile, whose pairs meet in a
+task as a product of matrices and leave as counts. So rows grow with a component's nodes times its parts, never with its pairs.
 """
 
 from __future__ import annotations
@@ -49,6 +53,9 @@ PROBE, HOT_ROWS, HOT_SHARE, ROWS = 64, 64, 500, 1 << 40
 #: Sizes of sets below which nodes share a universe, for the first; each later one spans GROWTH times as much.
 FIRST, GROWTH, LEVELS = 16, 4, 16
 
+#: Nodes and shingles of one part of a component, on average at most; shingles that are counted at once in a tile.
+PART_NODES, PART_SHINGLES, SLAB = 256, 1 << 20, 1 << 12
+
 
 @dataclass(frozen=True)
 class Level:
@@ -311,6 +318,66 @@ def _verify(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     return common.over_texts(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long, both long, either long")
 
 
+def _tile_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, weights: np.ndarray, num: int, den: int, slab: int) -> np.ndarray:
+    """For each set, the weights of those it is linked with, of pairs of a `first` and a `second` one (indices; the same ones or none in common)."""
+    n = np.array([len(x) for x in sets], np.int64)
+    _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, several = np.repeat(np.arange(len(sets)), n), seen > 1
+    row, token = row[several[token]], (np.cumsum(several) - 1)[token[several[token]]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    both = np.zeros((len(first), len(second)), np.int64)
+    for at in range(0, int(several.sum()), slab):
+        lo, hi = np.searchsorted(token, [at, at + slab])
+        holds = np.zeros((len(sets), int(token[hi - 1]) + 1 - at), np.float32)
+        holds[row[lo:hi], token[lo:hi] - at] = 1
+        both += (holds[first] @ holds[second].T).astype(np.int64)
+    linked = (both > 0) & (den * both >= num * (n[first][:, None] + n[second][None, :] - both))
+    out = np.zeros(len(sets), np.int64)
+    if np.array_equal(first, second):
+        np.fill_diagonal(linked, False)
+        out[first] = linked @ weights[first]
+    else:
+        out[first], out[second] = linked @ weights[second], linked.T @ weights[first]
+    return out
+
+
+def link_counts(full: DataFrame, comps: DataFrame, weights: DataFrame, measure: Measure) -> DataFrame:
+    """(node, n_links) of all nodes of components(node, component): the weights(node, weight) of all nodes each is linked with."""
+    num, den, slab = measure.num, measure.den, SLAB
+    member = comps.select("node", "component").unionByName(comps.select(F.col("component").alias("node"), "component").distinct())
+    member = common.keep(member.join(full.select("node", "n"), "node"), "grouped")
+    parts = F.ceil(F.greatest(F.count("*") / PART_NODES, F.sum("n") / PART_SHINGLES)).cast("int")
+    member = member.join(member.groupBy("component").agg(parts.alias("parts")), "component")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    tiles = member.select("node", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("node", "component", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    rows = tiles.join(weights, "node").join(full.select("node", "set"), "node").select("component", "lo", "hi", "part", "node", "weight", "set")
+    rows = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    out = {"node": pa.int64(), "n_links": pa.int64()}
+
+    def counted(tile, found) -> pa.RecordBatch:
+        part, node, weight, sets = zip(*found, strict=True)
+        part = np.array(part)
+        first, second = np.flatnonzero(part == tile[1]), np.flatnonzero(part == tile[2])
+        return common.record(out, node, _tile_links(list(sets), first, second, np.array(weight, np.int64), num, den, slab))
+
+    def run(batches):
+        tile, found = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "lo", "hi", "part", "node", "weight")]
+            for component, lo, hi, part, node, weight, data in zip(*columns, batch.column("set"), strict=True):
+                if (component, lo, hi) != tile:
+                    if found:
+                        yield counted(tile, found)
+                    tile, found = (component, lo, hi), []
+                found.append((part, node, weight, np.frombuffer(data.as_buffer(), "<u8")))
+        if found:
+            yield counted(tile, found)
+
+    return common.in_python(rows, run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
 def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of links(a, b): the smallest node each can reach; nodes without a link have no row.
 
@@ -368,7 +435,7 @@ def _all_tokens(full: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame
 
 
 def node_components(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(sets of all rows, links(a, b, both, either), components(node, component)); the last two None without links."""
+    """(sets of all rows, full(node, n, set) of the nodes that may be linked, components(node, component)); the last two None without any."""
     docs = _texts(docs)
     sets = common.keep(_sets(docs, measure), "sets")
     nodes = common.keep(sets.filter(F.size("sizes") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.first("probe").alias("probe")), "nodes")
@@ -387,7 +454,7 @@ def node_components(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataF
         return common.record({"node": pa.int64(), "want": pa.int64(), "set": pa.binary()}, [_digest(s)[0] for s in found], batch.column("want"), [s.astype("<u8").tobytes() for s in found])
 
     texts = docs.join(common.small(chosen, count), docs["doc_id"].eqNullSafe(chosen["id"])).select("text", "want")
-    full = common.keep(common.over_texts(texts, whole, "node long, want long, set binary").filter("node = want").select("node", "set").dropDuplicates(["node"]), "full")
+    full = common.keep(common.over_texts(texts, whole, "node long, want long, set binary").filter("node = want").select("node", F.expr("length(set) div 8").alias("n"), "set").dropDuplicates(["node"]), "full")
 
     left = nodes.join(chosen.select(F.col("want").alias("node")), "node", "left_semi")
     for single in (False, True):
@@ -422,18 +489,26 @@ def node_components(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataF
         if found.limit(1).count():
             links = links.unionByName(found)
             comps = connected(links)
-    return sets, links, comps
+    return sets, full, comps
 
 
 def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id that links reach.
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id that links reach, and n_links.
+
+    n_links is the number of rows with a different set that the row is linked with, each counted, whatever component it's in.
 
     A set holds the distinct shingles of `words` words of the whole text, A-Z lower-cased; with fewer words, the whole
     sequence is one. Rows without words (null and empty texts too) have an empty set and are linked with nothing. Equal
     sets are linked; different ones from num / den on, num < den. Repeated rows are linked with themselves; a null
     doc_id is never a component's smallest unless all are null. An empty table gives an empty result.
     """
-    sets, _, comps = node_components(docs, Measure(words, num, den))
+    return _components(docs, Measure(words, num, den), True)
+
+
+def _components(docs: DataFrame, measure: Measure, count: bool) -> DataFrame:
+    """components(), with n_links only if they are to be counted."""
+    sets, full, comps = node_components(docs, measure)
+    links = F.lit(0).cast("long").alias("n_links")
     classes = sets.filter("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("m"))
     if comps is not None:
         named = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -441,22 +516,30 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
         joined = named.filter(F.col("node") != F.col("component")).select("component").distinct()
         # Only components of several nodes need their smallest document looked up.
         several = named.join(joined, "component").join(lowest, "component").select("node", "twin", "component_id")
-        classes = classes.join(several, ["node", "twin"], "left").select("node", "twin", F.coalesce("component_id", "smallest").alias("smallest"), "m")
+        if count:
+            weights = classes.groupBy("node").agg(F.sum("m").alias("weight"))
+            several = several.join(link_counts(full, comps, weights, measure), "node")
+            links = F.coalesce("n_links", F.lit(0)).alias("n_links")
+        classes = classes.join(several, ["node", "twin"], "left").select("node", "twin", F.coalesce("component_id", "smallest").alias("smallest"), "m", links)
+    else:
+        classes = classes.withColumn("n_links", links)
     # Sets of more rows than a task's even share, of which there are at most as many as partitions, are broadcast: their
     # rows stay where they are and don't meet in one task.
     classes = common.keep(classes, "classes")
     total, parts = sets.count(), common.partitions(docs.sparkSession)
-    hot = classes.filter(F.col("m") * parts > total).select("node", "twin", "smallest")
-    rest = classes.filter(F.col("m") * parts <= total).select("node", "twin", "smallest")
+    hot = classes.filter(F.col("m") * parts > total).select("node", "twin", "smallest", "n_links")
+    rest = classes.filter(F.col("m") * parts <= total).select("node", "twin", "smallest", "n_links")
     row = sets.filter("n > 0").select("doc_id", "n", "node", "twin")
     out = row.join(F.broadcast(hot), ["node", "twin"]).unionByName(row.join(F.broadcast(hot), ["node", "twin"], "left_anti").join(rest, ["node", "twin"]))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
-    return out.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    columns = ["doc_id", "n_shingles", "component_id"] + ["n_links"] * count
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"), "n_links")
+    none = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(none).select(*columns)
 
 
 def one_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component; of repeated rows, all."""
-    stay = components(docs, words, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    stay = _components(docs, Measure(words, num, den), False).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
     stay = common.keep(stay, "stay")
     rows = common.guarded(docs, "doc_id")
     return rows.join(common.small(stay), rows["doc_id"].cast("long").eqNullSafe(stay["stays"]), "left_semi").toDF(*docs.columns)
