@@ -117,3 +117,12 @@ def test_every_link_is_counted(spark, nodes, slab, monkeypatch):
 def test_links_of_small_table(small, small_rows):
     got = sorted((r["doc_id"], r["n_links"]) for r in ngram_join.components(small, 5, 80, 100).collect())
     assert got == brute_links(small_rows, 5, 80, 100)
+
+
+def test_links_of_a_single_frequent_token(spark):
+    """At 1/2, {a} is linked with every {a, b}, though a is in too many sets to be a key at first."""
+    rows = [(0, "a b c d")] + [(k, f"a b c d w{k}") for k in range(1, 41)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.components(df, 4, 1, 2)
+    assert result(got) == brute(rows, 4, 1, 2) == {0: (1, 0)} | {k: (2, 0) for k in range(1, 41)}
+    assert sorted((r["doc_id"], r["n_links"]) for r in got.collect()) == brute_links(rows, 4, 1, 2)

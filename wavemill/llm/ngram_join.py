@@ -266,6 +266,10 @@ def keys_of(n: int, sizes: list[int], tokens: np.ndarray, rows: np.ndarray, meas
                 counts = bool(members)
                 members.append(token)
             need, need_small = need - counts, need_small - counts
+        if need > 0 and measure.single:
+            # Sets of which one shingle is enough for a link: pairs don't fill their prefix, which is all their tokens.
+            keys += [(token, alone, True) for token in own[count > rare].tolist()]
+            need = 0
         enough = enough and need <= 0
     return keys, enough
 
