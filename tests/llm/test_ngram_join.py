@@ -126,3 +126,9 @@ def test_links_of_a_single_frequent_token(spark):
     got = ngram_join.components(df, 4, 1, 2)
     assert result(got) == brute(rows, 4, 1, 2) == {0: (1, 0)} | {k: (2, 0) for k in range(1, 41)}
     assert sorted((r["doc_id"], r["n_links"]) for r in got.collect()) == brute_links(rows, 4, 1, 2)
+
+
+def test_components_are_never_returned_unfinished(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        ngram_join.connected(links, most=1)

@@ -32,6 +32,7 @@ task as a product of matrices and leave as counts. So rows grow with a component
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -382,15 +383,17 @@ def link_counts(full: DataFrame, comps: DataFrame, weights: DataFrame, measure:
     return common.in_python(rows, run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def connected(links: DataFrame, most: int = 60) -> DataFrame:
+def connected(links: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component) of links(a, b): the smallest node each can reach; nodes without a link have no row.
 
     Alternates two steps on the links, each of which hangs every node's neighbours on its smallest one, until nothing
-    changes. Links only are shuffled; each round is written to the shared folder.
+    changes; beyond `most` rounds it is an error. Links only are shuffled; each round is written to the shared folder.
     """
     edges = common.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
-    for _ in range(most):
+    for done in itertools.count():
+        if done == most:
+            raise RuntimeError(f"links still change after {most} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         wide = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
