@@ -44,6 +44,18 @@ def test_encoder_forgets_and_goes_on(library, monkeypatch):
         assert [ids.tolist() for ids in e([t.encode() for t in texts])] == [library(t) for t in texts]
 
 
+TWINS = [bytes(b"ab"[(bin(i).count("1") + k) & 1] for i in range(2048)).decode() for k in (0, 1)]  # Thue-Morse words
+
+
+def test_encoder_tells_words_of_one_hash_apart(library, monkeypatch):
+    assert [ids.tolist() for ids in words.Encoder(JSON)([t.encode() for t in TWINS])] == [library(t) for t in TWINS]
+    monkeypatch.setattr(words.hashing, "span_hashes", lambda text, starts: (np.diff(starts, append=len(text)) % 3).astype(np.uint64) << np.uint64(60) | np.uint64(1))
+    texts = ["".join(random.Random(k).choice(["a", "bc", " ", "def", "1"]) for _ in range(30)) + " " * (k % 2) for k in range(60)] + TWINS
+    e = words.Encoder(JSON)
+    for _ in range(2):
+        assert [ids.tolist() for ids in e([t.encode() for t in texts])] == [library(t) for t in texts]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -72,6 +84,19 @@ def test_files_edges(spark, edge, nothing, library, tmp_path):
     assert token_files.read(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_files_keep_rows_without_a_key(spark, library, tmp_path):
+    rows = [(None, "alpha beta gamma"), (0, "zero"), (5, "five"), (None, None), (5, "five again"), (-3, "minus")]
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "a"), JSON)
+    got = token_files.read(spark, str(tmp_path / "a")).collect()
+    assert sorted(str((r["doc_id"], r["n_tokens"], r["ids_crc32"])) for r in got) == sorted(str((i, len(library(t)) + 1, crc([*library(t), 0]))) for i, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    found = token_files.lookup(spark, str(tmp_path / "a"), spark.createDataFrame([(0,), (None,), (7,), (-3,), (-4,)], "doc_id long"))
+    assert sorted((r["doc_id"], list(r["ids"])) for r in found.collect()) == [(-3, [*library("minus"), 0]), (0, [*library("zero"), 0])]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 20000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
@@ -138,7 +163,9 @@ def test_plan_is_best_fit_decreasing(seed):
 
 
 def test_bpe(spark, small, small_rows, by_ranks):
-    rows = small_rows + [(1000 + k, t) for k, (_, t) in enumerate(EDGE)]
+    rng = random.Random(2)
+    odd = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(14))) for _ in range(300)]
+    rows = small_rows + [(1000 + k, t) for k, t in enumerate([*(t for _, t in EDGE), *odd])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = {i: (len(ids := by_ranks(t)), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())) for i, t in rows}

@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import common, words
 
-#: Bytes of text in a block: documents whose pre-tokens share one list of distinct words.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in a block: documents whose pre-tokens share one list of distinct words; one longer text is a block.
+BLOCK_BYTES = 4 << 20
+
+#: Words whose ids a task of the encoding stage remembers; beyond that it starts over, which changes speed only.
+REMEMBERED = 400_000
+
+#: Pre-tokens that are turned into ids and bytes at once, as far as documents end there.
+RUN = 1 << 18
 
 _BLOCKS = {"block": pa.int64(), "n_words": pa.int64(), "ids": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "parts": pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))}
 _BLOCKS_SCHEMA = "block long, n_words long, ids binary, counts binary, places binary, parts array<struct<part: int, words: binary>>"
@@ -51,7 +57,7 @@ def _blocks(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
     """Pre-tokens with their positions, by block: each document a run of places in the block's list of distinct words."""
 
     def run(batches):
-        split = words.regex.compile(words.PATTERN).findall
+        split = words.splitter()
         ids, counts, places, index, size, number = [], [], [], _Places(), 0, 0
 
         def block():
@@ -69,14 +75,18 @@ def _blocks(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
         for batch in batches:
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = value.as_py() or ""
-                if ids and size + len(text) > block_bytes:
-                    yield block()
+                length = len(text) if text.isascii() else len(text.encode())
+                if ids and size + length > block_bytes:
+                    made = block()
                     ids, counts, places, index, size, number = [], [], [], _Places(), 0, number + 1
+                    yield made
+                    del made
                 found = split(text)
                 ids.append(doc_id)
                 counts.append(len(found))
                 places.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
-                size += len(text)
+                size += length
+                del found
         if ids:
             yield block()
 
@@ -86,23 +96,22 @@ def _blocks(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
 def _encode_words(sent: DataFrame, ranks_path: str) -> DataFrame:
     """(block, part, words) to (block, part, reply): each distinct word of a part is encoded once, for all its blocks.
 
-    A part's rows stream by, a block at a time; what stays in memory is the part's distinct words.
+    A part's rows stream by, a block at a time; what stays in memory is the part's distinct words, REMEMBERED at most.
     """
 
     def run(batches):
-        encode = words.rank_encoding(ranks_path).encode_ordinary  # a pre-token alone is split no further
+        encode = words.rank_encoding(ranks_path).encode_ordinary
         known: dict[bytes, bytes] = {}
         last = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["part"] != last:
-                    known, last = {}, row["part"]
-                reply = []
-                for word in _unpack(row["words"]):
-                    if word not in known:
-                        known[word] = np.array(encode(word.decode()), "<u4").tobytes()
-                    reply.append(known[word])
-                yield common.record({"block": pa.int64(), "part": pa.int32(), "reply": pa.binary()}, [row["block"]], [row["part"]], [_pack(reply)])
+        for row in common.rows_of(batches):
+            if row["part"] != last or len(known) > REMEMBERED:
+                known, last = {}, row["part"]
+            reply = []
+            for word in _unpack(row["words"]):
+                if word not in known:
+                    known[word] = np.array(encode(word.decode()), "<u4").tobytes()
+                reply.append(known[word])
+            yield common.record({"block": pa.int64(), "part": pa.int32(), "reply": pa.binary()}, [row["block"]], [row["part"]], [_pack(reply)])
 
     ordered = sent.repartition(common.partitions(sent.sparkSession), "part").sortWithinPartitions("part", "block")
     return common.in_python(ordered, run, "block long, part int, reply binary", holds="ranks")
@@ -117,46 +126,54 @@ def _gather(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray, flat: np
     return flat[at], ends
 
 
-def _reassemble(joined: DataFrame, ranks_path: str, out: dict, schema: str, make) -> DataFrame:
-    """Blocks with their replies to documents: ids by position, and bytes from the token table."""
+def _token_table(ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes end to end, and each rank's start and size; one per worker process and vocabulary."""
 
-    def run(batches):
-        table = words.ranks(ranks_path)
-        pieces = sorted(table.items(), key=lambda x: x[1])
+    def make():
+        pieces = sorted(words.ranks(ranks_path).items(), key=lambda x: x[1])
         sizes = np.zeros(pieces[-1][1] + 1 if pieces else 1, np.int64)
         for piece, rank in pieces:
             sizes[rank] = len(piece)
-        token_bytes, token_starts = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8), np.cumsum(sizes) - sizes
-        for batch in batches:
-            for row in batch.to_pylist():
-                encoded = [w for r in sorted(row["replies"] or [], key=lambda r: r["part"]) for w in _unpack(r["reply"])]
-                flat = np.frombuffer(b"".join(encoded), "<u4")
-                lengths = np.array([len(w) // 4 for w in encoded], np.int64)
-                starts = np.cumsum(lengths) - lengths
-                counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                n = len(counts)
-                keys, known = np.frombuffer(row["ids"], "<i8", n), np.frombuffer(row["ids"], bool, n, 8 * n)
-                places = np.frombuffer(zlib.decompress(row["places"]), "<u4")
-                ends = np.cumsum(counts)
-                first = 0
-                while first < n:  # runs of documents of some million pre-tokens
-                    last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 20), "right")))
-                    lo, hi = int(ends[first] - counts[first]), int(ends[last - 1])
-                    ids, word_ends = _gather(starts, lengths, places[lo:hi], flat)
-                    cut = np.concatenate([[0], word_ends])[ends[first:last] - lo]
-                    text, token_ends = _gather(token_starts, sizes, ids, token_bytes)
-                    text_cut = np.concatenate([[0], token_ends])[cut]
-                    raw, spelt = ids.astype("<u4").tobytes(), text.tobytes()
-                    a, ta = 0, 0
-                    rows = []
-                    for k in range(first, last):
-                        b, tb = int(cut[k - first]), int(text_cut[k - first])
-                        rows.append(make(int(keys[k]) if known[k] else None, raw[4 * a : 4 * b], spelt[ta:tb]))
-                        a, ta = b, tb
-                    yield common.record(out, *map(list, zip(*rows, strict=True)))
-                    first = last
-
-    return common.in_python(joined, run, schema)
+        return np.frombuffer(b"".join(p for p, _ in pieces), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    return common.held(("ranks", ranks_path, "table"), make)
+
+
+def _reassemble(joined: DataFrame, ranks_path: str, out: dict, schema: str, make) -> DataFrame:
+    """Blocks with their replies to documents: ids by position, and bytes from the token table."""
+
+    def run(batches):
+        token_bytes, token_starts, sizes = _token_table(ranks_path)
+        for row in common.rows_of(batches):
+            encoded = [w for r in sorted(row["replies"] or [], key=lambda r: r["part"]) for w in _unpack(r["reply"])]
+            flat = np.frombuffer(b"".join(encoded), "<u4")
+            lengths = np.array([len(w) // 4 for w in encoded], np.int64)
+            del encoded
+            starts = np.cumsum(lengths) - lengths
+            counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
+            n = len(counts)
+            keys, known = np.frombuffer(row["ids"], "<i8", n), np.frombuffer(row["ids"], bool, n, 8 * n)
+            places = np.frombuffer(zlib.decompress(row["places"]), "<u4")
+            ends = np.cumsum(counts)
+            first = 0
+            while first < n:  # runs of documents of some RUN pre-tokens
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + RUN, "right")))
+                lo, hi = int(ends[first] - counts[first]), int(ends[last - 1])
+                ids, word_ends = _gather(starts, lengths, places[lo:hi], flat)
+                cut = np.concatenate([[0], word_ends])[ends[first:last] - lo]
+                text, token_ends = _gather(token_starts, sizes, ids, token_bytes)
+                text_cut = np.concatenate([[0], token_ends])[cut]
+                raw, spelt = ids.astype("<u4").tobytes(), text.tobytes()
+                a, ta = 0, 0
+                rows = []
+                for k in range(first, last):
+                    b, tb = int(cut[k - first]), int(text_cut[k - first])
+                    rows.append(make(int(keys[k]) if known[k] else None, raw[4 * a : 4 * b], spelt[ta:tb]))
+                    a, ta = b, tb
+                yield common.record(out, *map(list, zip(*rows, strict=True)))
+                first = last
+
+    return common.in_python(joined, run, schema, holds="ranks")
 
 
 def _encoded(docs: DataFrame, ranks_path: str, block_bytes: int) -> DataFrame:
@@ -164,9 +181,11 @@ def _encoded(docs: DataFrame, ranks_path: str, block_bytes: int) -> DataFrame:
     parts = common.partitions(spark)
     rows = common.only(docs, doc_id="long", text="string")
     name = f"wavemill_{uuid.uuid4().hex}"
+    path = f"{common.shared_dir(spark)}/{name}"
+    common.forget_at_exit(spark, path)
     common.forget_table_at_exit(spark, name)
     # Bucketed by block, so that the words' ids come to the blocks and the blocks themselves are never shuffled.
-    _blocks(rows, parts, block_bytes).write.format("parquet").bucketBy(parts, "block").sortBy("block").saveAsTable(name)
+    _blocks(rows, parts, block_bytes).write.format("parquet").option("path", path).bucketBy(parts, "block").sortBy("block").saveAsTable(name)
     blocks = spark.table(name)
     sent = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.part", "p.words")
     replies = _encode_words(sent, ranks_path).groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
@@ -203,12 +222,11 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     out = {"doc_id": pa.int64(), "text": pa.binary()}
 
     def run(batches):
-        table = {rank: piece for piece, rank in words.ranks(ranks_path).items()}
-        for batch in batches:
-            texts = []
-            for ids in batch.column("ids").to_pylist():
-                found = [table.get(i) for i in np.frombuffer(ids, "<u4").tolist()]
-                texts.append(None if None in found else b"".join(found))
-            yield common.record(out, batch.column("doc_id").to_pylist(), texts)
-
-    return common.in_python(rows, run, "doc_id long, text binary")
+        token_bytes, token_starts, sizes = _token_table(ranks_path)
+        for row in common.rows_of(batches):
+            ids = np.frombuffer(row["ids"], "<u4")
+            known = not len(ids) or (int(ids.max()) < len(sizes) and bool((sizes[ids] > 0).all()))
+            text = _gather(token_starts, sizes, ids, token_bytes)[0].tobytes() if known else None
+            yield common.record(out, [row["doc_id"]], [text])
+
+    return common.in_python(rows, run, "doc_id long, text binary", holds="ranks")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -119,6 +119,13 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of large values, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 _held: dict[object, object] = {}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,27 +10,18 @@ import numpy as np
 #: Longest stretch of text that is hashed at once; arrays of eight bytes a character stay at some 8 MB.
 BLOCK = 1 << 20
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words are stretches of anything but space, tab, newline, vertical tab, form feed and carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_EXACT = np.where(SPACE, np.uint64(0), _BYTE)
-_FOLDED = _EXACT.copy()
-_FOLDED[0x41:0x5B] = _EXACT[0x61:0x7B]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
-_POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = np.ones(1, np.uint64)
+#: Stretches of over so many bytes are hashed one by one.
+LONG = 256
 
-
-def _power(n: int) -> np.ndarray:
-    """The first n powers of an odd number modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers)), _POWER, np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
+#: What of eight bytes counts where only so many are left.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,31 +31,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of a buffer of bytes; fold: A-Z count as a-z.
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer on, as one little-endian number; zeros follow the end."""
+    padded = np.zeros(len(text) + 8, np.uint8)
+    padded[: len(text)] = text
+    return np.ndarray(len(text) + 1, "<u8", padded, strides=(1,))
+
+
+def stretch_hashes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of a buffer of bytes.
 
-    A hash is a sum over the word's bytes, each a random odd number times a power for its place, then finalised;
-    spaces count nothing, so a word's sum may run on to the next word.
+    Eight bytes at a time enter a chain that mixes after each; the length is where it starts. So no difference of two
+    stretches cancels another one, and up to eight bytes never share a hash. Long stretches take a digest of their own.
     """
+    long = np.flatnonzero(lengths > LONG)
+    left = np.where(lengths > LONG, 0, lengths) if len(long) else lengths
+    word, at, live = eights(text), starts, None
+    h = lengths.astype(np.uint64) * _SEED
+    out = h
+    while True:
+        h = mixed(h ^ (word[at] & _FIRST[np.minimum(left, 8)]))
+        if live is None:
+            out = h
+        else:
+            out[live] = h
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        live = more if live is None else live[more]
+        h, at, left = h[more], at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        a = int(starts[k])
+        out[k] = int.from_bytes(hashlib.blake2b(text[a : a + int(lengths[k])].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def word_hashes(text: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of a buffer of bytes; fold: A-Z count as a-z."""
     space = SPACE[text]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    at = np.arange(len(text), dtype=np.int64)
-    at -= np.repeat(starts, np.diff(np.concatenate([[0], starts[1:], [len(text)]]))) if starts[0] == 0 else np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(text)]])))
-    values = (_FOLDED if fold else _EXACT)[text]
-    values *= _power(int(at.max()) + 1)[at]
-    return mixed(np.add.reduceat(values, starts)), starts
+    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    return stretch_hashes(_LOWER[text] if fold else text, starts, ends - starts), starts
 
 
 def span_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The hash, never 0, of each stretch from one of starts (the first of which is 0) to the next."""
-    lengths = np.diff(starts, append=len(text))
-    at = np.arange(len(text), dtype=np.int32 if len(text) < 1 << 31 else np.int64)
-    at -= np.repeat(starts.astype(at.dtype), lengths)
-    values = _BYTE[text]
-    values *= _power(int(lengths.max()) + 1)[at]
-    return mixed(np.add.reduceat(values, starts)) | np.uint64(1)
+    return stretch_hashes(text, starts, np.diff(starts, append=len(text))) | np.uint64(1)
 
 
 def pieces(text: bytes) -> Iterator[np.ndarray]:

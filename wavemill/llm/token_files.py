@@ -7,7 +7,8 @@ that Spark reaches will do, a lost task is simply run again and readers never se
     first_id, last_id long  smallest and largest key
     n_docs, n_ids long      documents and ids in it
     width int               bytes an id takes in the payload: 2 where the vocabulary allows, else 4
-    keys, lengths binary    keys (int64) and id counts (uint32) in order, little-endian
+    n_null int              documents without a key: the first ones
+    keys, lengths binary    keys (int64; 0 for those without) and id counts (uint32) in order, little-endian
     index binary            the minimal perfect hash: level count, bits of each level, levels' bit arrays
     prints, offsets binary  by hash slot: a key's fingerprint (uint32) and its document's position in the shard (uint32)
     payload binary          all ids, one document after the other
@@ -29,10 +30,10 @@ from wavemill.llm import common, words
 SHARD_BYTES = 4 << 20
 
 _SHARD = {
-    "part": pa.int32(), "shard": pa.int32(), "first_id": pa.int64(), "last_id": pa.int64(), "n_docs": pa.int64(), "n_ids": pa.int64(), "width": pa.int32(),
+    "part": pa.int32(), "shard": pa.int32(), "first_id": pa.int64(), "last_id": pa.int64(), "n_docs": pa.int64(), "n_ids": pa.int64(), "width": pa.int32(), "n_null": pa.int32(),
     "keys": pa.binary(), "lengths": pa.binary(), "index": pa.binary(), "prints": pa.binary(), "offsets": pa.binary(), "payload": pa.binary(),
 }
-SCHEMA = "part int, shard int, first_id long, last_id long, n_docs long, n_ids long, width int, keys binary, lengths binary, index binary, prints binary, offsets binary, payload binary"
+SCHEMA = "part int, shard int, first_id long, last_id long, n_docs long, n_ids long, width int, n_null int, keys binary, lengths binary, index binary, prints binary, offsets binary, payload binary"
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -107,7 +108,7 @@ def _shard(part: int, number: int, width: int, keys: list, parts: list[bytes]) -
     prints, offsets = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
     prints[slots], offsets[slots] = _fingerprints(distinct), first
     ends = (int(distinct[0]), int(distinct[-1])) if len(distinct) else (None, None)
-    return (part, number, *ends, len(keys), int(lengths.sum()), width, ids.astype("<i8").tobytes(), lengths.tobytes(), index.to_bytes(), prints.tobytes(), offsets.tobytes(), b"".join(parts))
+    return (part, number, *ends, len(keys), int(lengths.sum()), width, len(keys) - int(known.sum()), ids.astype("<i8").tobytes(), lengths.tobytes(), index.to_bytes(), prints.tobytes(), offsets.tobytes(), b"".join(parts))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> None:
@@ -115,7 +116,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_by
 
     Documents are range-partitioned by doc_id once; each partition is sorted, encoded and cut into shards as it
     streams by, so a task holds one shard at most. Null text is empty (the end id alone). Repeated doc_ids are all
-    stored; the index leads to the first. A null doc_id sorts first, is stored as 0 and isn't indexed.
+    stored; the index leads to the first. A null doc_id sorts first and isn't indexed; a shard counts those it holds.
     """
     rows = common.only(docs, doc_id="long", text="string")
 
@@ -146,7 +147,7 @@ class Shard:
     """One shard in memory: keyed access to its documents' ids."""
 
     def __init__(self, row: dict):
-        self.width, self.payload = row["width"], row["payload"]
+        self.width, self.payload, self.n_null = row["width"], row["payload"], row["n_null"]
         self.keys, self.lengths = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.index = PerfectHash.from_bytes(row["index"])
@@ -182,50 +183,64 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Every document of a dataset, found by its key: doc_id, start, n_tokens, ids_crc32 (over 32-bit ids).
 
     start counts the ids of all documents before it. A repeated doc_id's later rows follow the first in the shard's
-    order. An empty dataset gives an empty result.
+    order; rows without a doc_id come first and keep their null. An empty dataset gives an empty result.
     """
     table = _directory(spark, path)
     bases = _bases(table)
     out = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "shard": pa.int32()}
 
     def documents(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
-                place = np.arange(len(shard.keys))
-                by_key = shard.find(shard.keys)
-                again = np.concatenate([[False], shard.keys[1:] == shard.keys[:-1]])
-                place = np.where(again | (by_key < 0), place, by_key)  # a repeated or null key has no entry of its own
-                columns = ([], [], [], [])
-                for key, at in zip(shard.keys.tolist(), place.tolist(), strict=True):
-                    ids = shard.ids(at)
-                    for column, value in zip(columns, (key, int(shard.starts[at]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
-                        column.append(value)
-                n = len(shard.keys)
-                yield common.record(out, *columns, [row["part"]] * n, [row["shard"]] * n)
+        for row in common.rows_of(batches):
+            shard = Shard(row)
+            keys, place = shard.keys, np.arange(len(shard.keys))
+            named = place >= shard.n_null
+            first = named & np.concatenate([[True], (keys[1:] != keys[:-1]) | ~named[:-1]])  # later rows of a key, and those without one, have no entry
+            place[first] = shard.find(keys[first])
+            if (place < 0).any():
+                raise ValueError(f"shard {row['part']}/{row['shard']} doesn't find its own keys")
+            columns = ([], [], [], [])
+            for key, at in zip(keys.tolist(), place.tolist(), strict=True):
+                ids = shard.ids(at)
+                for column, value in zip(columns, (key, int(shard.starts[at]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                    column.append(value)
+            columns[0][: shard.n_null] = [None] * shard.n_null
+            n = len(keys)
+            yield common.record(out, *columns, [row["part"]] * n, [row["shard"]] * n)
 
     found = common.in_python(table, documents, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int")
     return found.join(bases, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """ids (array of int) of keys(doc_id): each key goes to the shard whose range holds it, then through its index.
+    """ids (array of int) of keys(doc_id): each key goes to the part whose range holds it (there are as many as partitions
+    at writing), there to the shards whose range holds it, then through their index.
 
     Keys that aren't stored, and nulls, give no row; repeated keys give a row each.
     """
     table = _directory(spark, path)
-    asked = common.only(keys, doc_id="long").filter("doc_id is not null")
-    ranges = table.select("part", "shard", "first_id", "last_id").filter("first_id is not null")
-    near = asked.join(common.small(ranges), (asked["doc_id"] >= ranges["first_id"]) & (asked["doc_id"] <= ranges["last_id"]))
+    ranges = table.filter("first_id is not null")
+    bounds = ranges.groupBy("part").agg(F.min("first_id").alias("a"), F.max("last_id").alias("b")).orderBy("a").toArrow()
+    parts, lows, highs = (bounds.column(c).to_numpy() for c in ("part", "a", "b"))
+
+    def place(batches):
+        for batch in batches:
+            want = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            at = np.searchsorted(lows, want, "right") - 1
+            ok = (at >= 0) & (want <= highs[at]) if len(lows) else np.zeros(len(want), bool)
+            yield common.record({"doc_id": pa.int64(), "part": pa.int32()}, want[ok], parts[at[ok]])
+
+    asked = common.in_python(common.only(keys, doc_id="long").filter("doc_id is not null"), place, "doc_id long, part int")
+    near = asked.join(ranges.select("part", "shard", "first_id", "last_id"), "part").filter("doc_id between first_id and last_id")
     near = near.groupBy("part", "shard").agg(F.collect_list("doc_id").alias("asked"))
     types = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def fetch(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard, want = Shard(row), np.array(row["asked"], np.int64)
-                place = shard.find(want)
-                ok = (place >= 0) & (shard.keys[place] == want)
-                yield common.record(types, want[ok], [shard.ids(int(p)).tolist() for p in place[ok]])
+        for row in common.rows_of(batches):
+            shard, want = Shard(row), np.array(row["asked"], np.int64)
+            found = shard.find(want)
+            ok = (found >= 0) & (shard.keys[found] == want)
+            for at in range(0, int(ok.sum()), common.BATCH_ROWS):
+                some = slice(at, at + common.BATCH_ROWS)
+                yield common.record(types, want[ok][some], [shard.ids(int(p)).tolist() for p in found[ok][some]])
 
     return common.in_python(table.join(near, ["part", "shard"]), fetch, "doc_id long, ids array<int>")

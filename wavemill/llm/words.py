@@ -19,6 +19,17 @@ PATTERN = public_tokenizers.PATTERN
 #: other character goes through the library as a whole. Fixed ranges, checked over all code points.
 _OTHER = re.compile("[^\u0000-՗ -₎ₐ-ₜ₠-⯿　-鿿가-힣]")
 
+#: A blank between these starts a pre-token whatever the engine.
+_SAFE = re.compile("(?<=[A-Za-z0-9.,])(?= [A-Za-z])")
+
+
+def splitter():
+    """A function from a text to stretches that each encode alone: its pre-tokens, or where it has characters on which
+    engines differ, longer stretches, which the encoding library then splits itself."""
+    split = regex.compile(PATTERN).findall
+    return lambda text: split(text) if text.isascii() or not _OTHER.search(text) else [x for x in _SAFE.split(text) if x]
+
+
 #: Pre-tokens a worker remembers; beyond that it starts over, which changes speed only.
 REMEMBERED = 400_000
 
@@ -91,13 +102,14 @@ def plain_starts(text: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.n
 
 class Encoder:
     """Many texts to ids at once. Pre-tokens are split and hashed for whole buffers; each distinct one is encoded by the
-    library's model when it is first met, and its ids are found by its 64-bit hash from then on.
+    library's model when it is first met, and its ids are found by its 64-bit hash from then on, once its bytes have been
+    compared: of two pre-tokens of one hash, the later one is looked for under the hash's own hash, and so on.
 
     Texts that aren't plain go through Payloads one by one.
     """
 
-    #: Distinct pre-tokens that are remembered (some 50 bytes each); beyond that it starts over.
-    MOST = 2_000_000
+    #: Distinct pre-tokens that are remembered (some 80 bytes each); beyond that it starts over.
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         self.one = Payloads(path, 4)
@@ -111,6 +123,25 @@ class Encoder:
         self.keys, self.entry = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.starts, self.sizes = np.zeros(1 << 15, np.uint32), np.zeros(1 << 15, np.uint32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.spelt, self.spelt_starts, self.spelt_sizes, self.spelt_used = np.zeros(1 << 18, np.uint8), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
+
+    def _same(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Whether stretches of text have the bytes of the entries."""
+        out = self.spelt_sizes[entries] == lengths
+        mine, held = hashing.eights(text), np.ndarray(len(self.spelt) - 7, "<u8", self.spelt, strides=(1,))
+        at, there, left, live = starts, self.spelt_starts[entries], lengths, np.arange(len(starts))
+        while True:
+            keep = np.flatnonzero(out[live] & (left > 0))
+            if not len(keep):
+                return out
+            live, at, there, left = live[keep], at[keep], there[keep], left[keep]
+            if int(left.max()) > hashing.LONG:
+                for k in np.flatnonzero(left > hashing.LONG).tolist():
+                    a, b, n = int(at[k]), int(there[k]), int(left[k])
+                    out[live[k]] = np.array_equal(text[a : a + n], self.spelt[b : b + n])
+                left = np.where(left > hashing.LONG, 0, left)
+            out[live] &= (mine[at] ^ held[there]) & hashing._FIRST[np.minimum(left, 8)] == 0
+            at, there, left = at + 8, there + 8, left - 8
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entries of hashes, -1 where there is none."""
@@ -148,7 +179,14 @@ class Encoder:
         flat = np.array([i for w in ids for i in w], np.uint32)
         n, more = self.count + len(ids), self.used + len(flat)
         if n > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(n, np.uint32)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.spelt_starts, self.spelt_sizes = (np.concatenate([x, np.zeros(n, x.dtype)]) for x in (self.starts, self.sizes, self.spelt_starts, self.spelt_sizes))
+        letters = np.frombuffer(b"".join(spelt), np.uint8)
+        if self.spelt_used + len(letters) + 8 > len(self.spelt):
+            self.spelt = np.concatenate([self.spelt, np.zeros(self.spelt_used + len(letters) + 8, np.uint8)])
+        self.spelt[self.spelt_used : self.spelt_used + len(letters)] = letters
+        self.spelt_sizes[self.count : n] = lengths = np.array(list(map(len, spelt)), np.int64)
+        self.spelt_starts[self.count : n] = self.spelt_used + np.cumsum(lengths) - lengths
+        self.spelt_used += len(letters)
         if more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(more, np.uint32)])
         self.flat[self.used : more] = flat
@@ -165,19 +203,22 @@ class Encoder:
 
     def _plain(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens at starts, end to end, and where each pre-token's end."""
-        hashes = hashing.span_hashes(text, starts)
-        found = self._find(hashes)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            if self.count > self.MOST or self.used > 1 << 28:
-                self.clear()
-                return self._plain(text, starts)
-            distinct, first = np.unique(hashes[new], return_index=True)
-            at = new[first]
-            ends = np.append(starts, len(text))[at + 1].tolist()
-            raw = text.tobytes()
-            self._learn(distinct, [raw[a:b] for a, b in zip(starts[at].tolist(), ends, strict=True)])
-            found[new] = self._find(hashes[new])
+        if self.count > self.MOST or self.used > 1 << 26 or self.spelt_used > 1 << 27:
+            self.clear()
+        hashes, lengths = hashing.span_hashes(text, starts), np.diff(starts, append=len(text))
+        found, todo = np.full(len(starts), -1, np.int32), np.arange(len(starts))
+        while len(todo):
+            entries = self._find(hashes[todo])
+            new = todo[entries < 0]
+            if len(new):
+                distinct, first = np.unique(hashes[new], return_index=True)
+                at = new[first]
+                self._learn(distinct, [text[a : a + n].tobytes() for a, n in zip(starts[at].tolist(), lengths[at].tolist(), strict=True)])
+                entries = self._find(hashes[todo])
+            ok = self._same(text, starts[todo], lengths[todo], entries)
+            found[todo[ok]] = entries[ok]
+            todo = todo[~ok]
+            hashes[todo] = hashing.mixed(hashes[todo]) | np.uint64(1)
         n = self.sizes[found].astype(np.int64)
         ends = np.cumsum(n)
         at = np.arange(int(ends[-1]), dtype=np.int64)
@@ -223,8 +264,6 @@ class Encoder:
         return out
 
 
-
-
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""
     return common.held(("encoder", path), lambda: Encoder(path))
