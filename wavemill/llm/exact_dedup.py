@@ -2,80 +2,95 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import common
 
-#: Bytes of the first radix digit; each later digit is FACTOR times as wide, so a text of n bytes takes log(n) rounds.
-FIRST, FACTOR = 256, 8
+#: Bytes of the first radix digit, and of the second; each later one is FACTOR times as wide, so a text of n bytes takes
+#: log(n) rounds. The first is narrow, as all rows have it and nearly all rows that have no equal leave there.
+FIRST, SECOND, FACTOR = 32, 512, 16
 
-_HEADS = {"doc_id": pa.int64(), "text_sha256": pa.string(), "head": pa.binary(), "ended": pa.bool_()}
+#: Bits of the filter of first digits that more than one row has, at most: 8 MB for each task, however large the input.
+FILTER_BITS = 1 << 26
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def _heads(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = [b.lower() for b in common.blobs(batch.column("text"))]  # bytes.lower() changes A-Z only
-    return common.record(_HEADS, batch.column("doc_id"), [hashlib.sha256(b).hexdigest() for b in texts], [b[:FIRST] for b in texts], [len(b) <= FIRST for b in texts])
+_ROWS = {"doc_id": pa.int64(), "sha": pa.binary(), "size": pa.int64(), "digit": pa.binary(), "rest": pa.binary()}
+_ROWS_SCHEMA = "doc_id long, sha binary, size long, digit binary, rest binary"
 
 
-def _tails(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = [b.lower() for b in common.blobs(batch.column("text"))]
-    return pa.record_batch([batch.column("doc_id"), pa.array([hashlib.sha256(b).hexdigest() for b in texts], pa.string()), pa.array([b[FIRST:] for b in texts], pa.binary())], names=["doc_id", "text_sha256", "rest"])
+def _head(text: Column) -> Column:
+    """The first FIRST bytes of a text, lower-cased (as many characters have them)."""
+    return F.substring(F.translate(F.substring(text, 1, FIRST), _UPPER, _LOWER).cast("binary"), 1, FIRST)
+
+
+def _bit(bits: int) -> Column:
+    return F.pmod(F.xxhash64("size", "digit"), F.lit(bits))
+
+
+def _filter(groups: DataFrame, n: int) -> np.ndarray:
+    """Words of 64 bits, with a bit for each value of _bit() that one of n groups(size, digit) has."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    masks = groups.select(_bit(bits).alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[masks.column("word").to_numpy()] = masks.column("mask").to_numpy()
+    return out
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Groups of rows(gid, size, digit, doc_id) with more than one row: n, the largest doc_id, and a number, next."""
+    groups = rows.groupBy("gid", "size", "digit").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).filter("n > 1")
+    return common.keep(groups.select("gid", "size", "digit", "n", "keep_id", F.monotonically_increasing_id().alias("next")), "groups")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id long, text string): doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical after lower-casing A-Z. Groups are found by comparing bytes: round r splits each
-    group by its next digit of bytes, and a group is settled once it has one row or its texts have ended. The digest is
-    output, and names a row together with doc_id; it never decides equality. A group's digits are counted before the
-    shuffle, and a hot group's rows meet their group's one count row in a join that Spark can split.
+    Texts are equal when identical after lower-casing A-Z. Groups are found by comparing bytes: the first digit is a
+    text's length with its first bytes, and each round splits every group by its next digit, wider than the one before. A
+    row is settled once its group has one row, or once its group's texts have ended. The digest is output only.
+
+    The first digit takes a narrow pass over all rows. Then texts are read once more: rows whose first digit no other row
+    has (as a filter of bounded size tells, which lets some others through) are settled there, and the others carry what
+    is left of their texts from round to round. Digits are counted before each shuffle; a hot group's rows meet their
+    group's one count row in a join that Spark can split.
 
     Null texts count as empty and equal each other. Of equal texts the largest doc_id stays; a null doc_id stays only
     where the group has no other. Repeated rows count in group_size, and all that carry keep_id are marked kept. An
     empty table gives an empty result; other columns are ignored.
     """
-    docs = common.only(docs, doc_id="long", text="string")
-    base = common.keep(common.over_texts(docs, _heads, "doc_id long, text_sha256 string, head binary, ended boolean"), "heads")
-    rows = base.select("doc_id", "text_sha256", F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("gid"), F.col("head").alias("digit"), "ended")
-    settled: list[DataFrame] = []
-    width, active = FIRST, None
+    docs = common.only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    heads = docs.select("doc_id", F.lit(0).cast("long").alias("gid"), F.octet_length("text").cast("long").alias("size"), _head(F.col("text")).alias("digit"))
+    groups = _repeated(heads)
+    known = docs.sparkSession.sparkContext.broadcast(_filter(groups, groups.count()))
+    bits = 64 * len(known.value)
+
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [b.lower() for b in common.blobs(batch.column("text"))]  # bytes.lower() changes A-Z only
+        bit = batch.column("bit").to_numpy()
+        maybe = (known.value[bit >> 6] >> (bit & 63) & 1).tolist()
+        return common.record(_ROWS, batch.column("doc_id"), [hashlib.sha256(b).digest() for b in texts], [len(b) for b in texts], [b[:FIRST] if m else None for b, m in zip(texts, maybe, strict=True)], [b[FIRST:] if m else None for b, m in zip(texts, maybe, strict=True)])
+
+    asked = docs.withColumns({"size": F.octet_length("text").cast("long"), "digit": _head(F.col("text"))}).select("doc_id", "text", _bit(bits).alias("bit"))
+    rows = common.keep(common.over_texts(asked, split, _ROWS_SCHEMA), "rows")
+    no_group = [F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("keep_id")]
+    done = [rows.filter("digit is null").select("doc_id", "sha", *no_group)]
+    active, width, offset = rows.filter("digit is not null").withColumn("gid", F.lit(0).cast("long")), SECOND, FIRST
     while True:
-        groups = rows.groupBy("gid", "digit", "ended").agg(F.sum("m").alias("n"), F.max("doc_id").alias("keep_id")).filter("n > 1")
-        groups = common.keep(groups.select("gid", "digit", "ended", "n", "keep_id", F.monotonically_increasing_id().alias("next")), "groups")
-        count = groups.count()
-        if not count:
-            break
-        wide = max(1, width // 64)  # digits are wider than the 64 bytes a row that small() allows for
-        split = rows.join(common.small(groups, count * wide), ["gid", "digit", "ended"]).groupBy("doc_id", "text_sha256", "ended", "n", "keep_id", "next").agg(F.sum("m").alias("m"))
-        split = common.keep(split, "split")
-        settled.append(split.filter("ended").select("doc_id", "text_sha256", "n", "keep_id"))
-        going = split.filter("not ended").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha"), F.col("next").alias("gid"), "m")
-        left, repeated = going.agg(F.count("*"), F.max("m")).first()
-        if not left:
+        met = common.keep(active.join(groups, ["gid", "size", "digit"], "left").select("doc_id", "sha", "size", "rest", "n", "keep_id", "next"), "split")
+        done.append(met.filter((F.col("n").isNull()) | (F.col("size") <= offset)).select("doc_id", "sha", "n", "keep_id"))
+        going = met.filter((F.col("n").isNotNull()) & (F.col("size") > offset))
+        if not going.limit(1).count():
             break
-        if active is None:
-            ids = going.select("g_id").distinct()
-            texts = docs.join(common.small(ids, left), docs["doc_id"].eqNullSafe(ids["g_id"]), "left_semi")
-            texts = common.over_texts(texts, _tails, "doc_id long, text_sha256 string, rest binary")
-            if repeated > 1:
-                texts = texts.dropDuplicates(["doc_id", "text_sha256"])
-        else:
-            texts = active.select("doc_id", "text_sha256", F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        width *= FACTOR
-        active = texts.join(common.small(going, left * 2), texts["doc_id"].eqNullSafe(going["g_id"]) & (texts["text_sha256"] == going["g_sha"])).select("doc_id", "text_sha256", "m", "gid", "rest")
-        active = common.keep(active, "active")
-        rows = active.select("doc_id", "text_sha256", "m", "gid", F.expr(f"substring(rest, 1, {width})").alias("digit"), (F.length("rest") <= width).alias("ended"))
-    out = base.select("doc_id", "text_sha256")
-    if not settled:
-        return out.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    done = settled[0]
-    for more in settled[1:]:
-        done = done.unionByName(more)
-    done = done.withColumnsRenamed({"doc_id": "s_id", "text_sha256": "s_sha"})
-    out = out.join(done, out["doc_id"].eqNullSafe(done["s_id"]) & (out["text_sha256"] == done["s_sha"]), "left")
+        active = going.select("doc_id", "sha", "size", F.col("next").alias("gid"), F.expr(f"substring(rest, 1, {width})").alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
+        groups = _repeated(active)
+        offset, width = offset + width, width * FACTOR
+    out = functools.reduce(DataFrame.unionByName, done)
     keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
