@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from conftest_llm import EDGE, LONG, SMALL
@@ -37,11 +38,17 @@ def test_exact_edges(edge, nothing):
 
 def test_exact_long_prefixes(spark):
     body = "Abc " * 4000
-    rows = [(k, body + s) for k, s in enumerate(["", "x", "X", "y", "yy", "x"])] + [(10 + k, body[:n]) for k, n in enumerate((255, 256, 257, 2304, 2304, 18688, 255))]
+    rows = [(k, body + s) for k, s in enumerate(["", "x", "X", "y", "yy", "x"])] + [(10 + k, body[:n]) for k, n in enumerate((31, 32, 33, 544, 544, 545, 8736, 8736, 31))] + [(30, body), (30, body + "x"), (None, "é" * 40), (31, "É" * 40), (32, "é" * 39 + "e"), (33, "é" * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(tuple(r)) for r in exact_dedup.exact_groups(df).collect()) == plain_groups(rows)
 
 
+def test_exact_when_the_filter_lets_all_rows_through(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_filter", lambda groups, n: np.full(4, -1))
+    rows = [(k, f"text {k // 2}" * (k // 10)) for k in range(60)]
+    assert sorted(str(tuple(r)) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == plain_groups(rows)
+
+
 def plain_lines(rows, min_words=8):
     places = []
     for i, t in rows:
@@ -123,6 +130,65 @@ def test_shards(spark, small):
     assert max(bytes_.values()) <= 1.02 * sum(bytes_.values()) / 8
 
 
+def plain_best_fit(items, capacity, most):
+    """Sizes from large to small, each to the fullest bin that takes it; the bin of each, or None."""
+    left, out = [], []
+    for size in sorted(items, reverse=True):
+        fits = [(r, k) for k, r in enumerate(left) if r >= size]
+        if fits:
+            k = min(fits)[1]
+            left[k] -= size
+        elif len(left) == most:
+            return None
+        else:
+            k = len(left)
+            left.append(max(capacity, size) - size)
+        out.append((size, k))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_runs_are_plain_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    items = [rng.choice((1, 2, 3, 7, rng.randrange(1, 60), rng.randrange(1, 300))) for _ in range(rng.randrange(1, 200))]
+    for capacity, most in ((rng.randrange(40, 400), None), (-(-sum(items) // 8), 8), (-(-sum(items) // 3) + 5, 3)):
+        runs = sharding.best_fit_decreasing(dict(Counter(items)), capacity, most)
+        want = plain_best_fit(items, capacity, most)
+        assert (runs and [(s, k) for s, a, b, k in runs for _ in range(a, b)]) == want
+
+
+def plain_shards(items, shards):
+    """Bins of each size, by trying every capacity."""
+    items, out = sorted(items, reverse=True), []
+    while items and shards > 1 and items[0] * shards > sum(items):
+        out.append([items.pop(0)])
+        shards -= 1
+    capacity = max([*items[:1], -(-sum(items) // shards)])
+    while items and (found := plain_best_fit(items, capacity, shards)) is None:
+        capacity += 1
+    bins = defaultdict(list)
+    for size, k in found if items else []:
+        bins[k].append(size)
+    return sorted(map(sorted, [*out, *bins.values()]))
+
+
+def test_shards_are_plain_best_fit_decreasing(spark, small):
+    rng = random.Random(5)
+    made = [(k, f"{rng.randrange(60)}" * rng.randrange(1, 40)) for k in range(300)] + [(900 + k, None if k % 2 else "") for k in range(9)] + [(950, "z" * 2500), (951, "é" * 4000)]
+    for df in (small, spark.createDataFrame(made, "doc_id long, text string").repartition(5)):
+        texts = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+        sizes = Counter()
+        for _, t in texts:
+            sizes[t] += len(t.encode()) + 1
+        text_of = dict(texts)
+        shard_of = {text_of[r["doc_id"]]: r["shard"] for r in sharding.shard_by_bytes(df, 8).collect()}
+        bins = defaultdict(list)
+        for t, k in shard_of.items():
+            bins[k].append(sizes[t])
+        got, want = sorted(map(sorted, bins.values())), plain_shards(list(sizes.values()), 8)
+        assert sorted(map(sum, got)) == sorted(map(sum, want)) and got == want
+
+
 def test_shards_edges(edge, nothing):
     rows = sharding.shard_by_bytes(edge, 8).collect()
     assert len(rows) == len(EDGE)
@@ -131,22 +197,26 @@ def test_shards_edges(edge, nothing):
 
 
 def test_a_hot_group_has_its_own_shard():
-    placed = sharding.balanced([(1000, "hot")] + [(10, k) for k in range(70)], 8)
-    assert [k for k, v in placed.items() if v == placed["hot"]] == ["hot"]
-    assert sorted(Counter(v for k, v in placed.items() if k != "hot").values()) == [10] * 7
+    placed = sharding.balanced({1000: 1, 10: 70}, 8)
+    hot = [k for s, a, b, k in placed if s == 1000]
+    assert len(hot) == 1 and all(k != hot[0] for s, _, _, k in placed if s == 10)
+    assert sorted((k, b - a) for s, a, b, k in placed if s == 10) == [(k, 10) for k in sorted(set(range(8)) - set(hot))]
 
 
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_decreasing_as_a_list_would_do_it(seed):
     rng = random.Random(seed)
-    sizes = [(rng.randrange(1, 60), k) for k in range(300)]
+    sizes = [rng.randrange(1, 60) for k in range(300)]
     bins, left = [], []
-    for size, key in sorted(sizes, key=lambda x: (-x[0], str(x[1]))):
+    for size in sorted(sizes, reverse=True):
         fit = min(((r, k) for k, r in enumerate(left) if r >= size), default=None)
         if fit is None:
-            bins.append([key])
+            bins.append([size])
             left.append(100 - size)
         else:
-            bins[fit[1]].append(key)
+            bins[fit[1]].append(size)
             left[fit[1]] -= size
-    assert sharding.best_fit_decreasing(sizes, 100) == bins
+    got = defaultdict(list)
+    for s, a, b, k in sharding.best_fit_decreasing(dict(Counter(sizes)), 100):
+        got[k] += [s] * (b - a)
+    assert [got[k] for k in range(len(bins))] == bins

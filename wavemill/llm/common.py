@@ -97,6 +97,17 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def with_classes(rows: DataFrame, classes: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with their one row of classes(keys, m, ...), m being the rows of a class and total those of all.
+
+    Classes of more rows than a task's even share, of which there are at most as many as partitions, are broadcast: their
+    rows stay where they are and don't meet in one task.
+    """
+    parts = partitions(rows.sparkSession)
+    hot, rest = (classes.filter(c).drop("m") for c in (F.col("m") * parts > total, F.col("m") * parts <= total))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(rest, keys))
+
+
 def guarded(df: DataFrame, *names: str) -> DataFrame:
     """df with the first column of each of `names` as it is and all others named by place, so that nothing clashes."""
     columns = df.columns
