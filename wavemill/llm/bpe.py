@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from wavemill.llm import common, words
 
 #: Bytes of text in a block: documents whose pre-tokens share one list of distinct words; one longer text is a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 #: Words whose ids a task of the encoding stage remembers; beyond that it starts over, which changes speed only.
 REMEMBERED = 400_000
@@ -23,8 +24,8 @@ REMEMBERED = 400_000
 #: Pre-tokens that are turned into ids and bytes at once, as far as documents end there.
 RUN = 1 << 18
 
-_BLOCKS = {"block": pa.int64(), "n_words": pa.int64(), "ids": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "parts": pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))}
-_BLOCKS_SCHEMA = "block long, n_words long, ids binary, counts binary, places binary, parts array<struct<part: int, words: binary>>"
+_BLOCKS = {"block": pa.int64(), "n_words": pa.int64(), "ids": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "ranks": pa.binary(), "parts": pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))}
+_BLOCKS_SCHEMA = "block long, n_words long, ids binary, counts binary, places binary, ranks binary, parts array<struct<part: int, words: binary>>"
 _ENCODED = {"doc_id": pa.int64(), "ids": pa.binary(), "text": pa.binary()}
 
 
@@ -37,17 +38,26 @@ class _Places(dict):
 
 
 def _pack(items: list[bytes]) -> bytes:
-    return zlib.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items), 1)
+    return zstandard.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
-    data = zlib.decompress(blob)
+    data = zstandard.decompress(blob)
     n = int(np.frombuffer(data, "<u4", 1)[0])
     ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
     starts = np.concatenate([[4 * (n + 1)], ends[:-1]]) if n else ends
     return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, all their lowest bytes first: small numbers, which are the most frequent, take least."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack_numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _parts_of(listed: list[str], parts: int) -> np.ndarray:
     """The part of each word: by checksum, so that every block sends equal words to one place."""
     return np.array([zlib.crc32(w.encode()) % parts for w in listed], np.int64)
@@ -63,14 +73,14 @@ def _blocks(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
         def block():
             listed = list(index)
             part = _parts_of(listed, parts)
-            order = np.argsort(part, kind="stable")  # places are renumbered by part, so that replies can be laid end to end
+            order = np.argsort(part, kind="stable")  # replies come back part by part: rank is where a place's is among them
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             sent = [{"part": p, "words": _pack([listed[i].encode() for i in order[bounds[p] : bounds[p + 1]].tolist()])} for p in range(parts) if bounds[p] < bounds[p + 1]]
             keys = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is not None for i in ids], bool).tobytes()
-            where = rank[np.concatenate(places)] if places and len(rank) else np.zeros(0, np.uint32)
-            return common.record(_BLOCKS, [TaskContext.get().partitionId() << 32 | number], [len(listed)], [keys], [np.array(counts, "<u4").tobytes()], [zlib.compress(where.astype("<u4").tobytes(), 1)], [sent])
+            where = np.concatenate(places)
+            return common.record(_BLOCKS, [TaskContext.get().partitionId() << 32 | number], [len(listed)], [keys], [np.array(counts, "<u4").tobytes()], [_pack_numbers(where)], [_pack_numbers(rank)], [sent])
 
         for batch in batches:
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -153,7 +163,8 @@ def _reassemble(joined: DataFrame, ranks_path: str, out: dict, schema: str, make
             counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
             n = len(counts)
             keys, known = np.frombuffer(row["ids"], "<i8", n), np.frombuffer(row["ids"], bool, n, 8 * n)
-            places = np.frombuffer(zlib.decompress(row["places"]), "<u4")
+            places, ranks = _unpack_numbers(row["places"]), _unpack_numbers(row["ranks"])
+            starts, lengths = starts[ranks], lengths[ranks]
             ends = np.cumsum(counts)
             first = 0
             while first < n:  # runs of documents of some RUN pre-tokens
@@ -189,7 +200,7 @@ def _encoded(docs: DataFrame, ranks_path: str, block_bytes: int) -> DataFrame:
     blocks = spark.table(name)
     sent = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.part", "p.words")
     replies = _encode_words(sent, ranks_path).groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
-    return blocks.select("block", "ids", "counts", "places").join(replies, "block", "left")
+    return blocks.select("block", "ids", "counts", "places", "ranks").join(replies, "block", "left")
 
 
 def encode(docs: DataFrame, ranks_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
