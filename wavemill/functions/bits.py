@@ -65,6 +65,11 @@ def with_padding(word: Column, value: Column) -> Column:
     return with_bits(word, 9, 1, value)
 
 
+def with_main_data_offset(side: Column, is_1: Column, value: Column) -> Column:
+    """The first 16 bits of side info with the main-data offset replaced: 9 bits for MPEG-1, else 8."""
+    return F.when(is_1, with_bits(side, 7, 511, value)).otherwise(with_bits(side, 8, 255, value))
+
+
 def _table(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 

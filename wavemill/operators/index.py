@@ -43,6 +43,13 @@ def rate_bounds(low: int, high: int, is_1: bool = True) -> tuple[int, int]:
     return next((i for i in range(1, 15) if table[i] >= low), 14), next((i for i in range(14, 0, -1) if table[i] <= high), 1)
 
 
+def rate_indices(low: Column, high: Column, is_1: Column) -> tuple[Column, Column]:
+    """rate_bounds() as columns."""
+    numbers = F.sequence(F.lit(1), F.lit(14))
+    rate = lambda i: F.get(F.when(is_1, F.array(*map(F.lit, bits.BITRATES_1))).otherwise(F.array(*map(F.lit, bits.BITRATES_2))), i)
+    return F.coalesce(F.array_min(F.filter(numbers, lambda i: rate(i) >= low)), F.lit(14)), F.coalesce(F.array_max(F.filter(numbers, lambda i: rate(i) <= high)), F.lit(1))
+
+
 def chain_breaks(frames: DataFrame, stream: list[str], order: list[str], offset: str, size: str) -> DataFrame:
     """frames with linked: whether the frame before ends just here (for the first of a stream: whether it is at 0)."""
     before = F.lag(F.col(offset) + F.col(size)).over(Window.partitionBy(*stream).orderBy(*order))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import bits, signal
 from wavemill.operators import chunks, fold, index, meta, resample, runs
+from wavemill.plans import options
 from wavemill.sources import audio
 
 QUERIES: dict = {}
@@ -124,7 +125,17 @@ def q21_linear_resample(spark, sf_dir):
     return resample.linear(_streams(spark, sf_dir), "user_id", "idx", "value", 160, 147).withColumn("value", F.round("value", 6))
 
 
-@query()
+#: The kernel of 44100 to 48000 Hz, 160 phases of 66 taps: a sinc under a Kaiser window, whose Bessel function is its power series.
+_SINC = """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value / 512 AS x FROM events),
+    t AS (SELECT p, n, n - p / 160e0 AS t FROM range(160) a(p), range(-32, 34) b(n)),
+    w AS (SELECT p, n, CASE WHEN t = 0 THEN 1e0 ELSE sin(pi() * 0.97e0 * t) / (pi() * 0.97e0 * t) END * list_sum(list_transform(range(48), lambda k: power(9e0 * sqrt(greatest(0e0, 1 - (t / 33) * (t / 33))) / 2, 2 * k) / power(gamma(k + 1e0), 2))) AS w FROM t),
+    b AS (SELECT p, n, w / sum(w) OVER (PARTITION BY p) AS w FROM w),
+    j AS (SELECT user_id, unnest(range(count(*) * 48000 // 44100)) AS j FROM events GROUP BY user_id)
+    SELECT j.user_id, j.j AS idx, round(greatest(-1e0, least(1e0, sum(s.x * b.w))), 9) AS value FROM j JOIN b ON b.p = j.j * 147 % 160
+    JOIN s ON s.user_id = j.user_id AND s.i = j.j * 147 // 160 + b.n GROUP BY 1, 2"""
+
+
+@query(_SINC)
 def q45_windowed_sinc(spark, sf_dir):
     s = _streams(spark, sf_dir).withColumn("value", F.col("value") / 512)
     return resample.windowed_sinc(s, "user_id", "idx", "value", 44100, 48000).withColumn("value", F.round("value", 9))
@@ -222,11 +233,12 @@ def q10_header_decode(spark, sf_dir):
     return words(spark, sf_dir).select("event_id", bits.mode(w).alias("mode"), bits.layer(w).alias("layer"), bits.bitrate_index(w).alias("br_idx"), bits.rate_index(w).alias("sr_idx"), bits.padding(w).alias("padding"), bits.header_length(w).alias("header_len"), bits.side_info_length(w).alias("side_len"), bits.frame_size(w).alias("frame_size"), bits.valid(w).alias("valid"))
 
 
-@query(f"""SELECT event_id, (w - (w // 4096 & 15) * 4096 + (event_id % 16) * 4096)::BIGINT AS rated, (w - (w // 512 & 1) * 512 + (event_id % 2) * 512)::BIGINT AS padded
+@query(f"""SELECT event_id, (w - (w // 4096 & 15) * 4096 + (event_id % 16) * 4096)::BIGINT AS rated, (w - (w // 512 & 1) * 512 + (event_id % 2) * 512)::BIGINT AS padded,
+    (CASE WHEN w // 524288 & 3 = 3 THEN event_id % 512 * 128 + w % 128 ELSE event_id % 256 * 256 + w % 256 END)::BIGINT AS pointed
     FROM (SELECT event_id, {_WORD} AS w FROM events)""")
 def q24_header_setters(spark, sf_dir):
     w, i = F.col("w"), F.col("event_id")
-    return words(spark, sf_dir).select("event_id", bits.with_bitrate_index(w, i % 16).alias("rated"), bits.with_padding(w, i % 2).alias("padded"))
+    return words(spark, sf_dir).select("event_id", bits.with_bitrate_index(w, i % 16).alias("rated"), bits.with_padding(w, i % 2).alias("padded"), bits.with_main_data_offset(w % 65536, bits.mode(w) == 3, i).alias("pointed"))
 
 
 def _sql_twelve(at: int) -> str:
@@ -333,9 +345,13 @@ def q31_padding_samples(spark, sf_dir):
     return e.select("user_id", "frames", index.padding_samples(F.col("frames"), F.col("samples"), 576).alias("padding"), "samples")
 
 
-@query("""SELECT is_1, min(i)::INTEGER AS low, max(j)::INTEGER AS high FROM (SELECT true AS is_1, 1 AS i, 14 AS j UNION ALL SELECT false, 1, 14) GROUP BY is_1""")
+@query(f"""WITH o AS (SELECT o_orderkey, (o_orderkey * 7919 % 340000)::BIGINT AS low, (o_orderkey * 104729 % 340000)::BIGINT AS high, o_orderkey % 2 = 0 AS is_1 FROM orders),
+    r AS (SELECT true AS is_1, i, {_BR1}[i + 1] AS rate FROM range(1, 15) t(i) UNION ALL SELECT false, i, {_BR2}[i + 1] FROM range(1, 15) t(i))
+    SELECT o_orderkey, coalesce(min(i) FILTER (rate >= low), 14)::INTEGER AS low, coalesce(max(i) FILTER (rate <= high), 1)::INTEGER AS high FROM o JOIN r ON o.is_1 = r.is_1 GROUP BY o_orderkey""")
 def q30_rate_bounds(spark, sf_dir):
-    return spark.createDataFrame([(one, *index.rate_bounds(8000, 320000, one)) for one in (True, False)], "is_1 boolean, low int, high int")
+    k = F.col("o_orderkey")
+    low, high = index.rate_indices(k * 7919 % 340000, k * 104729 % 340000, k % 2 == 0)
+    return read(spark, sf_dir, "orders").select(k, low.alias("low"), high.alias("high"))
 
 
 @query(f"SELECT mode::INTEGER AS mode, count(*) AS n, count(*) FILTER (NOT {_VALID}) AS errors FROM ({_FIELDS}) GROUP BY mode")
@@ -350,14 +366,21 @@ def q33_decode_errors(spark, sf_dir):
 _HEX = "hex(html)"
 
 
-@query("""SELECT kind, count(*) AS n, sum(mp3::INTEGER)::BIGINT AS gated FROM (SELECT CASE
-    WHEN h LIKE '464F524D________41494646%' THEN 'aiff' WHEN h LIKE '664C6143%' THEN 'flac' WHEN h LIKE '52494646________57415645%' THEN 'wav'
-    WHEN h LIKE '494433%' OR regexp_matches(h, '^FF[EF]') THEN 'mp3' WHEN h LIKE 'FFD8FF%' THEN 'image/jpeg' WHEN h LIKE '89504E470D0A1A0A%' THEN 'image/png'
-    WHEN h LIKE '3C%' THEN 'html' ELSE 'other' END AS kind, h LIKE '494433%' OR regexp_matches(h, '^FF[EF]') AS mp3 FROM (SELECT hex(html) AS h FROM pages)) GROUP BY kind""")
+#: Leading bytes of each kind, and some that only resemble one.
+_MAGICS = [b"FORM\0\0\0\0AIFF", b"FORM\0\0\0\0AIFC", b"fLaC", b"RIFF\0\0\0\0WAVE", b"RIFF\0\0\0\0AVI ", b"ID3", b"\xff\xfb\x90", b"\xff\xdf", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"\x89PNG", b"", b"x"]
+
+
+@query(f"""SELECT page_id, CASE
+    WHEN h LIKE '464F524D________41494646%' THEN 'aiff' WHEN h LIKE '664C6143%' THEN 'flac' WHEN h LIKE '52494646________57415645%' AND length(h) >= 88 THEN 'wav'
+    WHEN gated THEN 'mp3' WHEN h LIKE 'FFD8FF%' THEN 'image/jpeg' WHEN h LIKE '89504E470D0A1A0A%' THEN 'image/png'
+    WHEN h LIKE '3C%' THEN 'html' ELSE 'other' END AS kind, gated::INTEGER AS gated FROM (
+    SELECT page_id, h, h NOT LIKE '52494646________57415645%' AND (h LIKE '494433%' OR regexp_matches(h, '^FF[EF]')) AS gated FROM (
+    SELECT page_id, {str([m.hex().upper() for m in _MAGICS])}[page_id % {len(_MAGICS)} + 1] || CASE WHEN page_id % 7 = 0 THEN '' ELSE hex(html) END AS h FROM pages))""")
 def q02_magic_sniff(spark, sf_dir):
-    b = F.encode("html", "UTF-8")
-    rows = read(spark, sf_dir, "pages").select(meta.kind_of_text(b).alias("kind"), meta.mp3_like(b).cast("int").alias("gated"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("gated").alias("gated"))
+    i = F.col("page_id")
+    head = F.get(F.array(*map(F.lit, _MAGICS)), (i % len(_MAGICS)).cast("int"))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.concat(head, F.when(i % 7 == 0, F.lit(b"")).otherwise(F.encode("html", "UTF-8"))).alias("b"))
+    return rows.select("page_id", meta.kind_of_text(F.col("b")).alias("kind"), meta.mp3_like(F.col("b")).cast("int").alias("gated"))
 
 
 @query("""SELECT page_id, estimate, CASE WHEN estimate > 16384 THEN 'refuse' WHEN estimate * 4 > 16384 * 3 THEN 'warn' ELSE 'go' END AS verdict FROM (
@@ -488,10 +511,160 @@ def q44_wav_samples(spark, sf_dir):
     return audio.samples(wav_files(spark, sf_dir)).select("path", "frame", F.col("s16").cast("int").alias("s16"))
 
 
-@query()
+_ENDED = "CASE WHEN user_id % 3 = 0 THEN 10 ELSE 0 END"
+_PARTS = f"""SELECT *, user_id % 7 + coalesce(sum(size) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+    sum(gap::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS gaps, user_id % 7 + sum(size) OVER (PARTITION BY user_id) AS total FROM (
+    SELECT user_id, f.*, event_id % 50 = 0 AS gap, CASE WHEN event_id % 50 = 0 THEN 4 ELSE frame_size END AS size, event_id % 200 AS c,
+    header_len + CASE WHEN mode = 3 THEN (CASE WHEN mono THEN 17 ELSE 32 END) ELSE (CASE WHEN mono THEN 9 ELSE 17 END) END AS info
+    FROM ({_FIELDS}) f JOIN events e USING (event_id)) WHERE gap OR ({_VALID} AND frame_size >= 40)"""
+
+
+def mp3_files(spark, sf_dir, cut: bool) -> DataFrame:
+    """A file for each user: some zeros, then its events' frames, each a header word and bytes of one value; an event in 50
+    is a gap of four zeros instead. Every third file lacks its last ten bytes, if cut."""
+    w, i = F.col("w"), F.col("event_id")
+    hexed = lambda n, width: F.lpad(F.hex(n), width, "0")
+    rows = words(spark, sf_dir).join(read(spark, sf_dir, "events").select("event_id", "user_id"), "event_id").withColumn("size", bits.frame_size(w))
+    gap = i % 50 == 0
+    rows = rows.filter(gap | (bits.valid(w) & (F.col("size") >= 40)))
+    part = F.when(gap, F.lit("00000000")).otherwise(F.concat(hexed(w, 8), F.repeat(hexed(i % 200, 2), (F.col("size") - 4).cast("int"))))
+    files = rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", part.alias("part")))), lambda x: x["part"]), "").alias("h"))
+    content = F.unhex(F.concat(F.repeat(F.lit("00"), (F.col("user_id") % 7).cast("int")), "h"))
+    short = F.when(F.col("user_id") % 3 == 0, F.expr("substring(content, 1, greatest(0, length(content) - 10))")).otherwise(F.col("content"))
+    files = files.select(F.col("user_id"), content.alias("content"))
+    return files.select(F.col("user_id").cast("string").alias("path"), (short if cut else F.col("content")).alias("content"))
+
+
+@query(f"""WITH o AS (SELECT *, total - {_ENDED} AS len, min(gaps) FILTER (NOT gap) OVER (PARTITION BY user_id) AS chain FROM ({_PARTS})),
+    f AS (SELECT * FROM o WHERE NOT gap AND gaps = chain AND place + 4 <= len)
+    SELECT user_id::VARCHAR AS path, (row_number() OVER (PARTITION BY user_id ORDER BY place) - 1)::INTEGER AS k, place::BIGINT AS "offset", size::INTEGER AS size, mode::INTEGER AS mode,
+    max(place + size) OVER (PARTITION BY user_id) + 4 > len AS whole, max(place + size) OVER (PARTITION BY user_id) > len AS truncated FROM f""")
 def q46_frame_scan(spark, sf_dir):
-    """Frames found in files made of valid header words, each followed by its page up to the frame's size."""
-    w = F.col("w")
-    good = words(spark, sf_dir).filter(bits.valid(w)).select("event_id", w, bits.frame_size(w).alias("size"))
-    body = F.rpad(F.concat(F.unhex(F.hex(w)), F.lit(b"")), F.col("size"), F.lit(b"\0"))
-    return audio.frames(good.select(F.col("event_id").cast("string").alias("path"), body.alias("content"))).select("path", "offset", "size", "mode", "whole", "truncated")
+    """The chain of frames of files with leading junk, gaps that end it, and truncated tails."""
+    return audio.frames(mp3_files(spark, sf_dir, True)).select("path", "k", "offset", "size", "mode", "whole", "truncated")
+
+
+_PACKED = "CASE WHEN mode = 3 AND NOT mono THEN (c % 16) * 256 + c + (c % 2) * 2048 + c * 8 + c // 32 + (c % 64) * 64 + c // 4 + (c % 8) * 512 + c * 2 + c // 128 WHEN mode = 3 THEN (c % 64) * 64 + c // 4 + (c % 8) * 512 + c * 2 + c // 128 WHEN mono THEN (c % 128) * 32 + c // 8 ELSE (c % 64) * 64 + c // 4 + (c % 128) * 32 + c // 8 END"
+
+
+@query(f"""WITH p AS (SELECT *, size - info AS body, CASE WHEN mode = 3 THEN c * 2 + c // 128 ELSE c END AS back, ceil(({_PACKED}) / 8e0)::BIGINT AS need FROM ({_PARTS}) WHERE NOT gap),
+    o AS (SELECT *, row_number() OVER w - 1 AS k, sum(body) OVER w - body AS start, sum(body * c) OVER w - body * c AS before, min(br_idx) OVER w AS lo, max(br_idx) OVER w AS hi FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    q AS (SELECT *, greatest(0, start - back) AS a, greatest(0, least(start + body, start - back + need)) AS b FROM o),
+    s AS (SELECT user_id, start, before, c FROM o WHERE body > 0),
+    x AS (SELECT q.*, coalesce(s.before + s.c * (q.a - s.start), 0) AS upto_a FROM q ASOF LEFT JOIN s ON q.user_id = s.user_id AND q.a >= s.start),
+    y AS (SELECT x.*, coalesce(s.before + s.c * (x.b - s.start), 0) AS upto_b FROM x ASOF LEFT JOIN s ON x.user_id = s.user_id AND x.b >= s.start),
+    z AS (SELECT *, CASE WHEN lo = hi THEN lo ELSE 0 END AS shared FROM y)
+    SELECT user_id::VARCHAR AS path, k::INTEGER AS k, greatest(info + need, size)::INTEGER AS length, shared::INTEGER AS br_idx,
+    (w // 16777216 + w // 65536 % 256 + (w // 256 % 16 + shared * 16) + w % 256 + (info - 5) * c - CASE WHEN mode = 3 THEN c // 128 * 128 ELSE 0 END + greatest(0, upto_b - upto_a))::BIGINT AS total FROM z""")
+def q47_unpack_packets(spark, sf_dir):
+    """Packets with their own main data: their lengths, bit-rate indices and sums of bytes."""
+    rows = audio.unpack(mp3_files(spark, sf_dir, False)).withColumn("h", F.hex("packet"))
+    byte = lambda i: F.conv(F.substring(F.col("h"), 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    total = F.aggregate(F.sequence(F.lit(0), F.length("packet") - 1), F.lit(0).cast("long"), lambda t, i: t + byte(i))
+    return rows.select("path", "k", F.length("packet").alias("length"), F.floor(byte(F.lit(2)) / 16).cast("int").alias("br_idx"), total.alias("total"))
+
+
+def _number(n, width: int, little: bool = True):
+    """A number's bytes."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in (range(width) if little else reversed(range(width))))))
+
+
+def aiff_files(spark, sf_dir) -> DataFrame:
+    """A mono AIFF file for each page, of 16 bits for even and 24 for odd ones, whose samples are the page's bytes."""
+    i, size = F.col("page_id"), F.octet_length("html")
+    width = F.when(i % 2 == 0, 2).otherwise(3)
+    n = F.floor(size / width).cast("int")
+    head = F.concat(F.lit(b"FORM"), _number(size + 46, 4, False), F.lit(b"AIFFCOMM\0\0\0\x12\0\x01"), _number(n, 4, False), _number(width * 8, 2, False), F.lit(b"\x40\x0e\xac\x44" + bytes(6)), F.lit(b"SSND"), _number(size + 8, 4, False), F.lit(bytes(8)))
+    return read(spark, sf_dir, "pages").select(i.cast("string").alias("path"), F.concat(head, F.encode("html", "UTF-8")).alias("content"))
+
+
+@query("""SELECT page_id::VARCHAR AS path, i AS frame, CASE WHEN width = 2 THEN (CASE WHEN v > 32767 THEN v - 65536 ELSE v END)::INTEGER END AS s16,
+    CASE WHEN width = 3 THEN round((CASE WHEN v > 8388607 THEN v - 16777216 ELSE v END) / 8388608e0, 9) END AS f32 FROM (
+    SELECT page_id, width, i, ('0x' || substr(h, 2 * width * i + 1, 2 * width))::BIGINT AS v FROM (
+    SELECT page_id, 2 + page_id % 2 AS width, hex(html) AS h, unnest(range(strlen(html) // (2 + page_id % 2))) AS i FROM pages))""")
+def q48_aiff_samples(spark, sf_dir):
+    return audio.samples(aiff_files(spark, sf_dir)).select("path", "frame", F.col("s16").cast("int").alias("s16"), F.round(F.col("f32").cast("double"), 9).alias("f32"))
+
+
+@query("""SELECT page_id::VARCHAR AS path, (44100 + page_id % 3)::INTEGER AS rate, (1 + page_id % 2)::INTEGER AS channels, (CASE WHEN page_id % 11 = 0 THEN NULL ELSE 16 + page_id % 9 END)::INTEGER AS bits,
+    page_id + 1 AS frames, 'Page ' || page_id AS title, (page_id % 5)::INTEGER AS kind, 4::BIGINT AS picture, page_id % 11 = 0 AS refused FROM pages""".replace("(44100 + page_id % 3)::INTEGER", "CASE WHEN page_id % 11 <> 0 THEN (44100 + page_id % 3)::INTEGER END").replace("(1 + page_id % 2)::INTEGER", "CASE WHEN page_id % 11 <> 0 THEN (1 + page_id % 2)::INTEGER END").replace("page_id + 1 AS frames, 'Page ' || page_id AS title, (page_id % 5)::INTEGER AS kind, 4::BIGINT", "CASE WHEN page_id % 11 <> 0 THEN page_id + 1 END AS frames, CASE WHEN page_id % 11 <> 0 THEN 'Page ' || page_id END AS title, CASE WHEN page_id % 11 <> 0 THEN (page_id % 5)::INTEGER END AS kind, CASE WHEN page_id % 11 <> 0 THEN 4::BIGINT END"))
+def q49_flac_metadata(spark, sf_dir):
+    """Stream info, the last title and the picture of FLAC files, an eleventh of which claim 25 bits and are refused."""
+    i = F.col("page_id")
+    depth = F.when(i % 11 == 0, 25).otherwise(16 + i % 9)
+    packed = F.shiftleft((44100 + i % 3).cast("long"), 44) + F.shiftleft((i % 2).cast("long"), 41) + F.shiftleft((depth - 1).cast("long"), 36) + i + 1
+    comment = lambda text: F.concat(_number(F.octet_length(text), 4), F.encode(text, "UTF-8"))
+    comments = F.concat(F.lit(bytes(4) + b"\x03\0\0\0"), comment(F.lit("title=first")), comment(F.lit("no separator")), comment(F.concat(F.lit("Title=Page "), i.cast("string"))))
+    picture = F.concat(_number((i % 5).cast("int"), 4, False), F.lit(b"\0\0\0\x09image/png" + bytes(4) + bytes(16) + b"\0\0\0\x04\x89PNG"))
+    block = lambda kind, body: F.concat(_number(F.lit(kind), 1), _number(F.octet_length(body), 3, False), body)
+    content = F.concat(F.lit(b"fLaC"), block(0, F.concat(F.lit(bytes(10)), _number(packed, 8, False), F.lit(bytes(16)))), block(4, comments), block(0x86, picture), F.encode("html", "UTF-8"))
+    found = audio.flac_metadata(read(spark, sf_dir, "pages").select(i.cast("string").alias("path"), content.alias("content")))
+    title = F.get(F.transform(F.filter("comments", lambda c: F.upper(c["key"]) == "TITLE"), lambda c: c["value"]), F.size(F.filter("comments", lambda c: F.upper(c["key"]) == "TITLE")) - 1)
+    return found.select("path", "rate", "channels", "bits", "frames", title.alias("title"), F.get("pictures", F.lit(0))["kind"].alias("kind"), F.length(F.get("pictures", F.lit(0))["data"]).cast("long").alias("picture"), F.col("error").isNotNull().alias("refused"))
+
+
+def _sql_bytes(n: str, width: int) -> str:
+    """A number's bytes in hex, the lowest first."""
+    return " || ".join(f"substr(lpad(hex({n}), {2 * width}, '0'), {2 * (width - k) - 1}, 2)" for k in range(width))
+
+
+_EVEN = "(strlen(html) // 2 * 2)"
+
+
+@query(f"""SELECT page_id || '.wav' AS name, ({_EVEN} + 44)::BIGINT AS length, sha256(unhex('52494646' || {_sql_bytes(f"{_EVEN} + 36", 4)} || hex('WAVEfmt ') || '10000000010001004' || '4AC0000' || '88580100' || '02001000' || hex('data')
+    || {_sql_bytes(_EVEN, 4)} || substr(hex(html), 1, 2 * {_EVEN}))) AS sha256 FROM pages""")
+def q50_wav_files(spark, sf_dir):
+    """WAV files rendered from samples, written by tasks into a shared folder, and read from there as bytes."""
+    folder = audio.scratch_folder(spark)
+    made = audio.wav_contents(audio.samples(wav_files(spark, sf_dir)), 44100)
+    audio.write_files(made.select(F.concat("path", F.lit(".wav")).alias("name"), "content"), folder)
+    return audio.read_files(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def _sql_frame(key: str, text: str) -> str:
+    return f"'{key.encode().hex()}' || '000000' || lpad(hex(strlen({text}) + 1), 2, '0') || '0000' || '03' || hex({text})"
+
+
+_TAG = " || ".join((_sql_frame("TIT2", "'Page ' || page_id"), _sql_frame("TPE1", "'A'"), _sql_frame("TDRC", "'2024'"), _sql_frame("TRCK", "(page_id % 300)::VARCHAR")))
+
+
+@query(f"""SELECT page_id, (length(h) // 2)::INTEGER AS length, sha256(unhex(h)) AS sha256 FROM (SELECT page_id, '494433' || '04000000' || '0000' || lpad(hex(length(tag) // 2), 2, '0') || tag || hex(html)
+    || hex('TAG') || rpad(hex('Page ' || page_id), 60, '0') || rpad('41', 60, '0') || repeat('00', 30) || hex('2024') || repeat('00', 28) || '00'
+    || lpad(hex(CASE WHEN page_id % 300 < 256 THEN page_id % 300 ELSE 0 END), 2, '0') || 'FF' AS h FROM (SELECT page_id, html, {_TAG} AS tag FROM pages))""")
+def q51_mp3_assembly(spark, sf_dir):
+    """Files of both tags around a stream of bytes."""
+    i, none = F.col("page_id"), F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("body"), F.concat(F.lit("Page "), i.cast("string")).alias("title"), F.lit("A").alias("artist"), none.alias("album"), F.lit("2024").alias("year"), none.alias("comment"), (i % 300).cast("string").alias("track"), none.alias("genre"))
+    return audio.assemble_mp3(audio.with_tags(rows)).select("page_id", F.length("content").alias("length"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("""SELECT l_orderkey, count(*) AS frames, 0::BIGINT AS last_chunk, sum(qty)::BIGINT AS total FROM (SELECT l_orderkey, l_quantity::INTEGER AS qty FROM lineitem) GROUP BY l_orderkey HAVING count(*) < 8""")
+def q52_tiny_streams(spark, sf_dir):
+    """Streams of fewer frames than the overlap of frames of 576 samples: one chunk holds them, each frame stays once."""
+    overlap = chunks.overlap_for(576)
+    rows = lines(spark, sf_dir).withColumn("frame", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("long") - 1)
+    kept = chunks.discard_overlap(chunks.explode_chunks(rows, "frame", overlap=overlap), overlap)
+    return kept.groupBy("l_orderkey").agg(F.count("*").alias("frames"), F.max("chunk_id").alias("last_chunk"), F.sum("qty").cast("long").alias("total")).filter(F.col("frames") < overlap)
+
+
+_OPTIONS = ["-b 160", "-V 2", "--abr 128", "--preset insane", "--preset 96", "-q3", "-mj", "-V", "--tt Song", "-bogus"]
+_PICK = [f"{str(_OPTIONS)}[event_id // {n} % {len(_OPTIONS)} + 1]" for n in (1, 10, 100)]
+_LAST = "list_last(list_filter([a, b, c], lambda x: x IN ({})))"
+
+
+@query(f"""WITH o AS (SELECT event_id, {', '.join(f"{x} AS {n}" for x, n in zip(_PICK, 'abc'))} FROM events),
+    m AS (SELECT *, {_LAST.format("'-b 160', '-V 2', '--abr 128', '--preset insane', '--preset 96'")} AS m, {_LAST.format("'-b 160', '--preset insane'")} AS rate,
+        {_LAST.format("'--abr 128', '--preset 96'")} AS mean, a IN ('-V', '-bogus') OR b IN ('-V', '-bogus') OR c IN ('-V', '-bogus') AS bad FROM o)
+    SELECT event_id, bad, CASE WHEN NOT bad THEN CASE WHEN m = '-V 2' THEN 'vbr' WHEN m IN ('--abr 128', '--preset 96') THEN 'abr' ELSE 'cbr' END END AS mode,
+    CASE WHEN NOT bad THEN CASE rate WHEN '-b 160' THEN 160 WHEN '--preset insane' THEN 320 ELSE 192 END END::INTEGER AS bitrate,
+    CASE WHEN NOT bad THEN CASE mean WHEN '--abr 128' THEN 128 WHEN '--preset 96' THEN 96 ELSE 192 END END::INTEGER AS abr,
+    CASE WHEN NOT bad THEN CASE WHEN '-V 2' IN (a, b, c) THEN 20 ELSE 40 END END::INTEGER AS vbr,
+    CASE WHEN NOT bad THEN CASE WHEN '-q3' IN (a, b, c) THEN 3 ELSE -1 END END::INTEGER AS quality,
+    CASE WHEN NOT bad THEN CASE WHEN '-mj' IN (a, b, c) THEN 'joint' ELSE 'auto' END END AS stereo,
+    CASE WHEN NOT bad AND '--tt Song' IN (a, b, c) THEN 'Song' END AS title FROM m""")
+def q53_options(spark, sf_dir):
+    """Lines of three options each; a value that is missing or no number is an error."""
+    picks = [F.get(F.array(*map(F.lit, _OPTIONS)), (F.floor(F.col("event_id") / n) % len(_OPTIONS)).cast("int")) for n in (1, 10, 100)]
+    rows = read(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", F.lit("in.wav"), *picks).alias("line"))
+    parsed = options.parse_lines(rows, "line")
+    return parsed.select("event_id", F.col("error").isNotNull().alias("bad"), "mode", "bitrate", "abr", "vbr", "quality", "stereo", "title")

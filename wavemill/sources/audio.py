@@ -116,7 +116,10 @@ def parse_aiff(data: bytes) -> Clip:
             channels, _, depth = struct.unpack_from(">HIH", data, at)
             head = channels, depth, _extended(data[at + 8 : at + 18])
         elif name == b"SSND" and size >= 8:
-            body = data[at + 8 + struct.unpack_from(">I", data, at)[0] : at + size]
+            skip = struct.unpack_from(">I", data, at)[0]
+            if skip > size - 8:
+                raise Refused("samples start beyond their chunk")
+            body = data[at + 8 + skip : at + size]
     if head is None or body is None:
         raise Refused("no format or no samples")
     channels, depth, rate = head
@@ -256,9 +259,10 @@ def main_data(data: bytes, f: Frame) -> tuple[int, int]:
 def packets(data: bytes) -> list[bytes]:
     """Each frame with its own main data behind its header, gathered from the frames before it, and pointing nowhere back.
 
-    Main data that lies before the first frame reads as zeros. A packet is as long as its frame at least.
+    Main data that lies before the first frame reads as zeros. A packet is as long as its frame at least. Its bit-rate
+    index is the one that all frames so far share, or 0.
     """
-    out, gathered = [], b""
+    out, gathered, shared = [], b"", None
     at = 0
     while at + 4 <= len(data):
         f = frame_at(data, at)
@@ -270,6 +274,8 @@ def packets(data: bytes) -> list[bytes]:
         have = gathered[-back:] if back else b""
         own = (b"\0" * (back - len(have)) + have + body)[:length].ljust(length, b"\0")
         head = bytearray(data[at : at + f.info].ljust(f.info, b"\0"))
+        shared = f.bitrate_index if shared in (None, f.bitrate_index) else 0
+        head[2] = head[2] & 0x0F | shared << 4
         head[f.header] = 0
         if f.mode == 3:
             head[f.header + 1] &= 0x7F
@@ -417,14 +423,85 @@ def assemble_mp3(streams: DataFrame, tag: str = "id3v2", body: str = "body", tai
     return streams.withColumn("content", F.concat(*(F.coalesce(F.col(c), empty) for c in (tag, body, tail))))
 
 
-def write_files(clips_: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """One file a row, through the Hadoop file system that `folder` names, from the driver, a row at a time."""
-    spark = clips_.sparkSession
-    jvm = spark.sparkContext._jvm
-    for row in clips_.select(name, content).toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row[0]}")
-        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-        try:
-            out.write(bytearray(row[1]))
-        finally:
-            out.close()
+def unpack(files: DataFrame) -> DataFrame:
+    """Packets of MP3 files(path, content), as packets() makes them: path, k, packet. A stream is one row, and so one task's work."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                found = packets(content.as_py() or b"")
+                for at in range(0, len(found), 4096):
+                    part = found[at : at + 4096]
+                    yield pa.record_batch([pa.array([path] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int32()), pa.array(part, pa.binary())], names=["path", "k", "packet"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, k int, packet binary")
+
+
+def wav_contents(samples_: DataFrame, rate: int) -> DataFrame:
+    """16-bit files of samples(path, frame, ch, s16): path, content. A clip is one task's work, 4 GB at most."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["frame", "ch"])
+        made = render_wav(pdf["s16"].to_numpy(np.int16).reshape(-1, int(pdf["ch"].max()) + 1), rate)
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [made]})
+
+    return samples_.filter("s16 is not null").select("path", "frame", "ch", "s16").groupBy("path").applyInPandas(run, "path string, content binary")
+
+
+def with_tags(rows: DataFrame) -> DataFrame:
+    """rows(path, title, artist, album, year, comment, track, genre) with id3v2 and id3v1, rendered; null fields are missing."""
+    import pyarrow as pa
+
+    names = ("title", "artist", "album", "year", "comment", "track", "genre")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "id3v2 binary, id3v1 binary"])
+
+    def run(batches):
+        for batch in batches:
+            tags = [dict(zip(names, values, strict=True)) for values in zip(*(batch.column(c).to_pylist() for c in names), strict=True)]
+            yield pa.record_batch([*batch.columns, pa.array([render_id3v2(t) for t in tags], pa.binary()), pa.array([render_id3v1(t) for t in tags], pa.binary())], names=[*batch.schema.names, "id3v2", "id3v1"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
+    """One file a row in a folder that all executors reach, written by the tasks; a file appears when it is whole, and a
+    task that is run again writes the same file again."""
+    import pyarrow as pa
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for file, data in zip(batch.column(name).to_pylist(), batch.column(content), strict=True):
+                part = f"{base}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data.as_py() or b"")
+                store.move(part, f"{base}/{file}")
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    folder = folder if "://" in folder else folder.replace("file:", "", 1) if folder.startswith("file:") else folder
+    rows.select(name, content).mapInArrow(run, "n long").agg({"n": "sum"}).collect()
+
+
+_scratch: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's name in the one that all executors share; without one, in a temporary folder, on one machine only."""
+    import tempfile
+    import uuid
+
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _scratch:
+        _scratch.append(tempfile.mkdtemp(prefix="files-"))
+    return f"{_scratch[0]}/{uuid.uuid4().hex}"
