@@ -132,3 +132,10 @@ def test_components_are_never_returned_unfinished(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
         ngram_join.connected(links, most=1)
+
+
+def test_words_of_a_linear_hash_are_told_apart(spark):
+    """Thue-Morse words, whose sums of bytes times powers of one odd number agree modulo 2**64."""
+    twins = [bytes(b"ab"[(bin(i).count("1") + k) & 1] for i in range(2048)).decode() for k in (0, 1)]
+    rows = [(k + 1, t) for k, t in enumerate(twins)]
+    assert result(ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)) == {1: (1, 1), 2: (1, 2)}

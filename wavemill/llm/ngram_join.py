@@ -54,6 +54,9 @@ PROBE, HOT_ROWS, HOT_SHARE, ROWS = 64, 64, 500, 1 << 40
 #: Sizes of sets below which nodes share a universe, for the first; each later one spans GROWTH times as much.
 FIRST, GROWTH, LEVELS = 16, 4, 16
 
+#: Nodes that a task remembers to have sent.
+SEEN = 500_000
+
 #: Nodes and shingles of one part of a component, on average at most; shingles that are counted at once in a tile.
 PART_NODES, PART_SHINGLES, SLAB = 256, 1 << 20, 1 << 12
 
@@ -223,6 +226,8 @@ def _tokens(docs: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame:
                     node = _digest(found)[0]
                     if node in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()  # nodes met again send their tokens again, which are counted alike by all that have them
                     seen.add(node)
                     for v in of:
                         mine = found[: np.searchsorted(found, np.uint64(v.bound))] if v.bound < 1 << 64 else found
@@ -424,7 +429,7 @@ def _members(keyed: DataFrame, measure: Measure) -> DataFrame:
     """Nodes of keys on which some node may be linked with a smaller or equal one: node and hub (_b) of each key."""
     several = keyed.groupBy("key").agg(F.min(F.struct("rank", "node", "n", "alone", "small")).alias("hub"), F.count("*").alias("m"), F.max("small").alias("some")).filter("m > 1 and some")
     several = common.keep(several.select("key", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("node", "n", "alone", "small"))), "groups")
-    return common.keep(keyed.join(several, "key").select("key", "node", "n", "alone", "small", "node_b", "n_b", "alone_b", "small_b"), "members")
+    return common.keep(keyed.join(common.small(several, 2 * several.count()), "key").select("key", "node", "n", "alone", "small", "node_b", "n_b", "alone_b", "small_b"), "members")
 
 
 def _all_tokens(full: DataFrame, measure: Measure, hot: np.ndarray) -> DataFrame:
@@ -530,14 +535,8 @@ def _components(docs: DataFrame, measure: Measure, count: bool) -> DataFrame:
         classes = classes.join(several, ["node", "twin"], "left").select("node", "twin", F.coalesce("component_id", "smallest").alias("smallest"), "m", links)
     else:
         classes = classes.withColumn("n_links", links)
-    # Sets of more rows than a task's even share, of which there are at most as many as partitions, are broadcast: their
-    # rows stay where they are and don't meet in one task.
-    classes = common.keep(classes, "classes")
-    total, parts = sets.count(), common.partitions(docs.sparkSession)
-    hot = classes.filter(F.col("m") * parts > total).select("node", "twin", "smallest", "n_links")
-    rest = classes.filter(F.col("m") * parts <= total).select("node", "twin", "smallest", "n_links")
-    row = sets.filter("n > 0").select("doc_id", "n", "node", "twin")
-    out = row.join(F.broadcast(hot), ["node", "twin"]).unionByName(row.join(F.broadcast(hot), ["node", "twin"], "left_anti").join(rest, ["node", "twin"]))
+    classes = common.keep(classes.select("node", "twin", "m", "smallest", "n_links"), "classes")
+    out = common.with_classes(sets.filter("n > 0").select("doc_id", "n", "node", "twin"), classes, ["node", "twin"], sets.count())
     columns = ["doc_id", "n_shingles", "component_id"] + ["n_links"] * count
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"), "n_links")
     none = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
@@ -545,8 +544,11 @@ def _components(docs: DataFrame, measure: Measure, count: bool) -> DataFrame:
 
 
 def one_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component; of repeated rows, all."""
-    stay = _components(docs, Measure(words, num, den), False).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    """The rows of docs that are the smallest doc_id of their component; of rows equal in doc_id and text, one."""
+    stay = _components(docs, Measure(words, num, den), False).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("__times"))
     stay = common.keep(stay, "stay")
-    rows = common.guarded(docs, "doc_id")
-    return rows.join(common.small(stay), rows["doc_id"].cast("long").eqNullSafe(stay["stays"]), "left_semi").toDF(*docs.columns)
+    rows = common.guarded(docs, "doc_id", "text")
+    own = rows.columns
+    kept = rows.join(common.small(stay), rows["doc_id"].cast("long").eqNullSafe(stay["stays"]))
+    again = kept.filter("__times > 1").withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__sha"])
+    return kept.filter("__times = 1").select(*own).unionByName(again.select(*own)).toDF(*docs.columns)
