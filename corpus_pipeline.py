@@ -2,6 +2,9 @@
 
 Every stage works on all rows that its predecessor kept and returns the columns of documents, but for the last, which
 returns packed pieces. n_chars follows the text where a stage changes it.
+
+All stages take null and empty texts (no words, lines, sets or personal data; one piece of the end id), null and repeated
+doc_ids, empty tables, texts of any length, and further columns of any names, which they hand on as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +20,10 @@ _spent: list = []
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    if "n_chars" not in docs.columns:
+        return docs
+    own = common.guarded(docs, "text", "n_chars")
+    return own.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).toDF(*docs.columns)
 
 
 def _stage(fn):
@@ -42,7 +48,7 @@ def keep_quality(spark, docs, sf_dir):
 @_stage
 def drop_lines(spark, docs, sf_dir):
     """Documents without the lines that repeat an earlier one; those that lose all their lines go."""
-    out = line_dedup.dedup_lines(docs).filter("n_kept > 0 or n_lines = 0").select(*docs.columns)
+    out = line_dedup.dedup_lines(docs).filter("n_kept > 0 or n_lines = 0").drop("n_lines", "n_kept")
     return _recounted(out)
 
 
