@@ -14,8 +14,9 @@ from wavemill.llm import common, hashing
 #: Buckets of words and of n-grams (powers of two), bytes of an n-gram, dimensions of a vector.
 WORDS, GRAMS, N, DIMS = 1 << 15, 1 << 16, 4, 16
 
-#: Bounds of the training sample: labelled rows, and bytes of their texts in all. Rows are drawn by hash of their id.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 48 << 20
+#: Bounds of the training sample: labelled rows, and distinct features of their texts in all (four bytes each, which is
+#: what comes to the driver). Rows are drawn by hash of their id.
+SAMPLE_ROWS, SAMPLE_FEATURES = 6000, 8 << 20
 
 #: LIFT: an average spreads each step over hundreds of features, so their vectors move by so much more.
 EPOCHS, RATE, LIFT, SEED = 8, 0.5, 60.0, 7
@@ -95,8 +96,25 @@ def score(texts: list[bytes], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-(sums(texts, model.weights) + model.bias)))
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """Feature vectors and a softmax layer over their average, trained one document after the other.
+def packed(text: bytes) -> bytes:
+    """A text's distinct features and their shares, four bytes each: count of words, largest share, then 16 bits for each
+    word bucket, for each n-gram bucket, and for each share as part of the largest."""
+    found, times = np.unique(features(text), return_counts=True)
+    most = int(times.max(initial=1))
+    head = np.array([np.searchsorted(found, WORDS)], "<u4").tobytes() + np.array([most / max(1, int(times.sum()))], "<f4").tobytes()
+    return head + np.where(found < WORDS, found, found - WORDS).astype("<u2").tobytes() + (times / most).astype("<f2").tobytes()
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(features, shares) of packed()."""
+    n = (len(blob) - 8) // 4
+    found = np.frombuffer(blob, "<u2", n, 8).astype(np.int32)
+    found[int(np.frombuffer(blob, "<u4", 1)[0]) :] += WORDS
+    return found, np.frombuffer(blob, "<f2", n, 8 + 2 * n).astype(np.float32) * np.frombuffer(blob, "<f4", 1, 4)[0]
+
+
+def fit(docs: list[bytes], labels: list[int]) -> Model:
+    """Feature vectors and a softmax layer over their average, trained one document, as packed() has it, after the other.
 
     For two classes the softmax of a linear layer over an average of vectors is a logistic function of an average of
     numbers, one for each feature; those are what is kept. Without any labels, every score is a half.
@@ -106,16 +124,12 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     layer, bias = np.zeros((2, DIMS), np.float32), np.zeros(2, np.float32)
     if len(set(labels)) < 2:
         return Model(np.zeros(WORDS + GRAMS, np.float32), float(8 * (labels[0] - 0.5)) if labels else 0.0)
-    docs = []
-    for text in texts:
-        found, times = np.unique(features(text), return_counts=True)
-        docs.append((found.astype(np.int32), (times / max(1, times.sum())).astype(np.float32)))
     steps, done = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(docs)):
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
-            found, share = docs[k]
+            found, share = unpacked(docs[k])
             mine = vectors[found]
             mean = share @ mine
             z = layer @ mean + bias
@@ -134,25 +148,35 @@ def in_fold(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
 
 
+_SAMPLE = {"doc_id": pa.int64(), "quality": pa.int32(), "draw": pa.int64(), "n": pa.int64(), "features": pa.binary()}
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most SAMPLE_ROWS labelled rows outside the held-out fold, of at most SAMPLE_BYTES in all.
+    """A model from at most SAMPLE_ROWS labelled rows outside the held-out fold, of at most SAMPLE_FEATURES in all.
 
     docs(doc_id, text), labels(doc_id, quality 0 or 1). Rows are taken by hash of doc_id, whole texts only; null ids and
     labels of other values aren't used, and a row labelled twice counts by its smallest label. Scores see texts alone.
+    Tasks turn the drawn texts into features, and only those of the chosen rows come to the driver.
     """
     known = common.only(labels, doc_id="long", quality="int").filter("doc_id is not null and quality in (0, 1)").filter(~in_fold("doc_id"))
     drawn = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    texts = common.only(docs, doc_id="long", text="string").fillna("", "text")
-    sample = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("draw"), F.octet_length("text").alias("size"))
-    sample = common.keep(sample, "sample")
-    chosen, total = [], 0
-    for r in sample.select("doc_id", "draw", "size").orderBy("draw", "doc_id", "size").limit(SAMPLE_ROWS).collect():
-        if total + r["size"] <= SAMPLE_BYTES:
-            total += r["size"]
-            chosen.append((r["doc_id"], r["size"]))
-    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, size int").distinct()
-    rows = sorted((r["draw"], r["doc_id"], r["text"].encode(), r["quality"]) for r in sample.join(F.broadcast(picked), ["doc_id", "size"]).limit(SAMPLE_ROWS).collect())
-    return fit([t for _, _, t, _ in rows], [q for _, _, _, q in rows])
+    texts = common.only(docs, doc_id="long", text="string").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("draw"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [packed(t) for t in common.blobs(batch.column("text"))]
+        return common.record(_SAMPLE, *(batch.column(c) for c in ("doc_id", "quality", "draw")), [len(f) // 4 - 2 for f in found], found)
+
+    sample = common.keep(common.over_texts(texts, run, "doc_id long, quality int, draw long, n long, features binary"), "sample")
+    order = ("draw", "doc_id", "n")
+    sizes = sample.select(*order).orderBy(*order).limit(SAMPLE_ROWS).toArrow()
+    keys = list(zip(*(sizes.column(c).to_pylist() for c in order), strict=True))
+    while sum(n for *_, n in keys) > SAMPLE_FEATURES:
+        keys.pop()
+    if not keys:
+        return fit([], [])
+    draw, doc_id, n = keys[-1]
+    chosen = sample.filter(F.struct(*order) <= F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip(order, (draw, doc_id, n), strict=True)))).orderBy(*order, "features").limit(len(keys)).select("quality", "features").toArrow()
+    return fit([f.as_py() for f in chosen.column("features")], chosen.column("quality").to_pylist())
 
 
 def classify(docs: DataFrame, model: Model, pass_on: list[str]) -> DataFrame:
