@@ -47,6 +47,18 @@ def test_top_k_edges(spark):
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_top_k_takes_clashing_columns_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 8)
+    rows = [(k % 30, [k % 7, -k, 3], k, "x", 0.5) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>, query_id long, score string, floor double").repartition(3)
+    queries_ = {}
+    for i, v, *_ in rows:
+        if i % 10 == 0:
+            queries_[i] = min(v, queries_.get(i, v))
+    got = sorted(tuple(r) for r in topk.top_k(df.filter("vec_id % 10 = 0"), df, 5).collect())
+    assert got == plain_top([r[:2] for r in rows], list(queries_.items()), 5)
+
+
 KINDS = ("email", "ip", "card", "phone")
 
 
@@ -105,6 +117,43 @@ def test_labelers_add_spans_that_others_speak_for(spark):
     assert all(rows[100 + k]["spans"] == "" for k in range(60))
 
 
+def planted_pii(n, seed):
+    """(text, its loose spans that are personal data, those that aren't), of all four kinds."""
+    rng = random.Random(seed)
+    card = "4041894974608795"
+    rows = []
+    for _ in range(n):
+        real = [f"{rng.choice(('mail', 'contact', 'write to'))} {rng.choice('abc')}x{rng.randrange(99)} [at] site{rng.randrange(9)} [dot] {rng.choice(('com', 'org', 'net'))}"[:],
+                f"{rng.choice(('server', 'host', 'login'))} {rng.randrange(1, 255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}",
+                f"{rng.choice(('card', 'visa', 'payment'))} {rng.choice('._/').join(card[k : k + 4] for k in range(0, 16, 4))}",
+                f"{rng.choice(('phone', 'call', 'fax'))} {rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"]
+        fake = [f"{rng.choice(('version', 'part', 'ref'))} {rng.randrange(1, 9)}. {rng.randrange(9)}. {rng.randrange(9)}. {rng.randrange(9)}",
+                f"{rng.choice(('order', 'serial', 'invoice'))} {rng.randrange(1000, 2000)}/{rng.randrange(1000, 9999)}/{rng.randrange(1000, 9999)}/{rng.randrange(100, 999)}",
+                f"{rng.choice(('order', 'invoice', 'ref'))} 1{rng.randrange(10, 99)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"]
+        base = rng.sample([f"mail q{rng.randrange(99)}@mail.com", "ip 10.1.2.3", f"card {card}", "phone +1 (555) 222-1000"], rng.randrange(3))
+        r, f = rng.sample(real, rng.randrange(3)), rng.sample(fake, rng.randrange(2))
+        parts = r + f + base
+        rng.shuffle(parts)
+        rows.append((". Then the ".join(["So", *parts, "end"]), len(r), len(f), len(base)))
+    return rows
+
+
+def test_added_spans_precision_and_recall(spark):
+    rows = planted_pii(1500, 6)
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "doc_id long, text string")
+    right = wrong = missed = 0
+    for r in pii.find(df).collect():
+        text, real, fake, base = rows[r["doc_id"]]
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s]
+        added = [s for s in spans if s not in {(a, b) for a, _, b in plain_pii(text)}]
+        lead = re.compile("(version|part|ref|order|serial|invoice) ?$")
+        bad = sum(bool(lead.search(text[:a])) for a, _ in added)
+        right, wrong, missed = right + len(added) - bad, wrong + bad, missed + real - (len(added) - bad)
+    precision, recall = right / (right + wrong), right / (right + missed)
+    print(f"precision {precision:.3f}, recall {recall:.3f}")
+    assert precision > 0.95 and recall > 0.95
+
+
 def test_redaction(spark, edge):
     df = spark.createDataFrame([(1, "to a@b.cc now, 4041894974608795 and 10.0.0.1!", "x"), (2, None, "y"), (3, "none", None)], "doc_id long, text string, extra string")
     assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "to <EMAIL> now, <CARD> and <IP>!", "x"), (2, None, "y"), (3, "none", None)]
@@ -135,6 +184,57 @@ def test_quality_on_held_out_rows(spark):
     assert sum(p == q for _, q, p in held) / len(held) > 0.95
 
 
+def test_scores_against_a_plain_version(spark, small, small_rows):
+    """Words and n-grams one by one, and a training loop over dictionaries."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    rows = dict(small_rows)
+
+    def bucket_counts(text):
+        raw, out, before = text.encode(), {}, None
+        for word in re.findall(rb"[^\x20\x09-\x0D]+", raw):
+            h = int(quality.hashing.word_hashes(np.frombuffer(word, np.uint8), False)[0][0])
+            out_key = quality.WORDS - 1 if word == before else h >> 49
+            out[out_key] = out.get(out_key, 0) + 1
+            before = word
+        for at in range(len(raw)):
+            gram = int.from_bytes(raw[at : at + 4].ljust(4, b"\0"), "little") * 2654435761 % 2**32 >> 16
+            out[quality.WORDS + gram] = out.get(quality.WORDS + gram, 0) + 1
+        return out
+
+    draw = {r["doc_id"]: r["d"] for r in small.selectExpr("doc_id", "xxhash64(doc_id) as d").collect()}
+    order = sorted((i for i in known if i in rows), key=lambda i: (draw[i], i))
+    rng = np.random.default_rng(quality.SEED)
+    vectors = rng.uniform(-1 / quality.DIMS, 1 / quality.DIMS, (quality.WORDS + quality.GRAMS, quality.DIMS))
+    layer, bias, done = np.zeros((2, quality.DIMS)), np.zeros(2), 0
+    for _ in range(quality.EPOCHS):
+        for k in rng.permutation(len(order)):
+            rate = quality.RATE * (1 - done / (quality.EPOCHS * len(order)))
+            done += 1
+            counts = bucket_counts(rows[order[k]])
+            total = sum(counts.values())
+            mean = sum(n / total * vectors[f] for f, n in counts.items())
+            z = layer @ mean + bias
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum() - np.eye(2)[known[order[k]]]
+            down = p @ layer
+            layer, bias = layer - rate * np.outer(p, mean), bias - 0.1 * rate * p
+            for f, n in counts.items():
+                vectors[f] -= rate * quality.LIFT * n / total * down
+    got = {r["doc_id"]: r["score"] for r in quality.quality(small, labels).collect()}
+    for i, text in rows.items():
+        counts = bucket_counts(text)
+        mean = sum(n * vectors[f] for f, n in counts.items()) / max(1, sum(counts.values()))
+        z = (layer[1] - layer[0]) @ mean + bias[1] - bias[0] if counts else bias[1] - bias[0]
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 0.02, i
+
+
+def test_packed_features_keep_their_shares():
+    for text in (b"", b"a", b"one two one " * 500, bytes(range(256)) * 9):
+        found, share = quality.unpacked(quality.packed(text))
+        want, times = np.unique(quality.features(text), return_counts=True)
+        assert found.tolist() == want.tolist() and np.allclose(share, times / max(1, times.sum()), rtol=1e-3)
+
+
 def test_quality_edges(spark, edge, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.quality(edge, none).collect()} == {0.5}

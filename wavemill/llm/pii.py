@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +26,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Looser forms, which only count where the classifier accepts them: an e-mail with its at sign spelt out, and a
-#: national phone number of three groups.
+#: Looser forms, which only count where the classifier accepts them: an e-mail with its at sign spelt out, an address
+#: with its dots spelt out, in brackets or among blanks, a card number with other separators, and a national phone number
+#: of three groups.
 _LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63})+")
-_LOOSE_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
+_LOOSE_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])")
+_LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?: ?[\[(](?:\.|dot)[\])] ?| \.|\. |\.)[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
+_LOOSE_CARD = re.compile(r"(?<![0-9./_])[0-9]{4}(?:[._/\u00a0\u2013][0-9]{2,6}){2,4}(?![0-9]|[./_][0-9])")
 
 #: Gazetteers: top-level domains, country calling codes, issuer prefixes of cards.
 _DOMAINS = frozenset("com org net edu gov mil int info biz io dev app ai co uk de fr es it nl be ch at pt pl se no dk fi ie us ca mx br ar au nz jp cn kr in ru eu example test".split())
@@ -93,6 +97,8 @@ def _loose(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
         out += [(m.start(), 0, m.end()) for m in _LOOSE_EMAIL.finditer(text)]
     if _DIGIT.search(text):
         out += [(m.start(), 3, m.end()) for m in _LOOSE_PHONE.finditer(text)]
+        out += [(m.start(), 1, m.end()) for m in _LOOSE_IP.finditer(text) if all(int(p) <= 255 for p in re.findall("[0-9]+", m.group()))]
+        out += [(m.start(), 2, m.end()) for m in _LOOSE_CARD.finditer(text) if 12 <= sum(c in "0123456789" for c in m.group()) <= 19]
     out.sort()
     kept, k = [], 0
     for a, kind, b in out:  # both lists go by start: those that overlap a base span are its own matter
@@ -114,7 +120,7 @@ def _votes(text: str, start: int, kind: int, end: int, strict: bool) -> int:
     else:
         digits = "".join(c for c in span if c in "0123456789")
         if kind == 2:
-            listed = 2 if digits.startswith(_ISSUERS) else 0
+            listed = 2 if digits.startswith(_ISSUERS) and _luhn(digits) else 0
         elif strict:
             listed = 2 if digits.startswith(_CALLING) else 0
         else:
@@ -124,23 +130,36 @@ def _votes(text: str, start: int, kind: int, end: int, strict: bool) -> int:
     return pattern + 3 * listed + 9 * context
 
 
+#: Buckets of the word before a span, and the parts of a code: kind, votes, shape, word.
+BUCKETS = 32
+_PARTS = (4, 27, 16, BUCKETS)
+
+_WORD = re.compile(r"([^\W\d_]+)[\W_]*$")
+
+
 def _shape(text: str, start: int, end: int) -> int:
-    """What the classifier sees besides the votes: what stands on either side, and the length's class; below 16."""
+    """What stands on either side, and the length's class; below 16."""
     before = start == 0 or text[start - 1].isspace()
     after = end == len(text) or text[end].isspace() or text[end] in ".,;:!?)"
     return before + 2 * after + 4 * min(3, (end - start) // 8)
 
 
+def _word(text: str, start: int) -> int:
+    """The bucket of the last word within CONTEXT characters before a span; 0 without one."""
+    found = _WORD.search(text[max(0, start - CONTEXT) : start])
+    return 1 + zlib.crc32(found[1].lower().encode()) % (BUCKETS - 1) if found else 0
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
-    """(start, kind, end, base, code): code holds kind, votes and shape."""
+    """(start, kind, end, base, code): code holds kind, votes, shape and the word before."""
     base = base_spans(text)
     out = [(a, k, b, True) for a, k, b in base] + [(a, k, b, False) for a, k, b in _loose(text, base)]
-    return sorted((a, k, b, strict, k * 27 * 16 + _votes(text, a, k, b, strict) * 16 + _shape(text, a, b)) for a, k, b, strict in out)
+    return sorted((a, k, b, strict, ((k * 27 + _votes(text, a, k, b, strict)) * 16 + _shape(text, a, b)) * BUCKETS + _word(text, a)) for a, k, b, strict in out)
 
 
 @dataclass(frozen=True)
 class Model:
-    """reliabilities: kind -> labeler -> share of right votes; accepted: codes of loose candidates that are spans."""
+    """reliabilities: kind -> labeler -> share of right votes; accepted: codes that the classifier takes for real."""
 
     reliabilities: dict[str, list[float]]
     weights: np.ndarray
@@ -148,25 +167,27 @@ class Model:
 
 
 def _features(codes: np.ndarray) -> np.ndarray:
-    """One-hot kind, one-hot votes of each labeler, shape, and a constant."""
-    kind, votes, shape = codes // 432, codes // 16 % 27, codes % 16
-    columns = [kind == k for k in range(4)]
-    for n in range(3):
-        columns += [votes // 3**n % 3 == v for v in range(3)]
-    columns += [shape % 2 == 1, shape // 2 % 2 == 1, *(shape // 4 == v for v in range(4)), np.ones(len(codes), bool)]
-    return np.stack(columns, axis=1).astype(float)
+    """The features of each code: its kind, and by kind each labeler's vote, what stands before and after, the length's
+    class, and the word before."""
+    kind, votes, shape, word = np.unravel_index(codes, _PARTS)
+    sizes = [1, 3, 3, 3, 2, 2, 4, BUCKETS]
+    values = [np.zeros_like(kind), votes % 3, votes // 3 % 3, votes // 9, shape % 2, shape // 2 % 2, shape // 4, word]
+    starts = np.cumsum([0, *sizes])
+    return np.stack([kind * starts[-1] + a + v for a, v in zip(starts, values, strict=False)], axis=1)
+
+
+N_FEATURES = 4 * (1 + 3 * 3 + 2 + 2 + 4 + BUCKETS)
 
 
-def fit(counts: dict[int, int], rounds: int = 50) -> Model:
-    """Expectation-maximisation over the counted codes, then logistic regression on its posteriors.
+def posteriors(counts: dict[int, int], rounds: int = 50) -> tuple[np.ndarray, dict[str, list[float]]]:
+    """Chances that candidates of each code (sorted) are real, and each labeler's reliability, by expectation-maximisation.
 
-    There are at most 4 * 27 * 16 codes, so counts of the whole corpus are all that training needs. Each kind has its
-    own prior and, for each labeler, its own chances of a vote given that the span is real or not; labelers start out
-    as mostly right.
+    Each kind has its own prior and, for each labeler, its own chances of a vote given that the span is real or not;
+    labelers start out as mostly right.
     """
     codes = np.array(sorted(counts), np.int64)
     n = np.array([counts[c] for c in codes.tolist()], float)
-    kind, votes = codes // 432, codes // 16 % 27
+    kind, votes, _, _ = np.unravel_index(codes, _PARTS)
     post = np.zeros(len(codes))
     reliabilities = {}
     for k in range(4):
@@ -187,17 +208,27 @@ def fit(counts: dict[int, int], rounds: int = 50) -> Model:
                     chance[j, 1, v] = (((1 - p) * w)[at[j] == v].sum() + chance[j, 1, v] * 2) / (((1 - p) * w).sum() + 2)
             post[mine] = p
         reliabilities[KINDS[k]] = [float(prior * chance[j, 0, 2] + (1 - prior) * chance[j, 1, 0]) for j in range(3)]
-    x = _features(codes) if len(codes) else np.zeros((0, 20))
-    weights = np.zeros(20)
-    if len(codes):
-        share = np.log1p(n) / np.log1p(n).sum()  # frequent codes shall not drown the rest
-        for _ in range(500):
-            p = 1 / (1 + np.exp(-x @ weights))
-            weights += 2.0 * (x.T @ (share * (post - p)) - 0.001 * weights)
-    every = np.arange(4 * 432)
-    p = 1 / (1 + np.exp(-_features(every) @ weights))
-    voted = (every // 16 % 27 // 3 % 3 == 2) | (every // 16 % 27 // 9 == 2)  # a labeler other than the pattern must speak for it
-    return Model(reliabilities, weights, frozenset(every[(p >= ACCEPT) & voted].tolist()))
+    return post, reliabilities
+
+
+def fit(counts: dict[int, int]) -> Model:
+    """posteriors(), then a logistic classifier trained on them, which alone decides.
+
+    There are at most 4 * 27 * 16 * BUCKETS codes, so counts of the whole corpus are all that training needs.
+    """
+    post, reliabilities = posteriors(counts)
+    codes = np.array(sorted(counts), np.int64)
+    weights = np.zeros(N_FEATURES)
+    if not len(codes):
+        return Model(reliabilities, weights, frozenset())
+    x = _features(codes)
+    share = np.log1p([counts[c] for c in codes.tolist()])  # frequent codes shall not drown the rest
+    share /= share.sum()
+    for _ in range(500):
+        p = 1 / (1 + np.exp(-weights[x].sum(axis=1)))
+        weights += 4.0 * (np.bincount(x.ravel(), np.repeat(share * (post - p), x.shape[1]), N_FEATURES) - 0.0005 * weights)
+    p = 1 / (1 + np.exp(-weights[x].sum(axis=1)))
+    return Model(reliabilities, weights, frozenset(codes[p >= ACCEPT].tolist()))
 
 
 _FOUND = {
@@ -239,16 +270,21 @@ def find(docs: DataFrame) -> DataFrame:
     an empty result. Spans of different kinds may overlap; added ones overlap no base span.
     """
     found = common.keep(scan(docs), "candidates")
-    accepted = sorted(train(found).accepted)
-    stays = lambda c: c["base"] | c["code"].isin(accepted) if accepted else c["base"]
-    spans = F.array_join(F.transform(F.filter("found", stays), lambda c: c["span"]), ",")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+    accepted = train(found).accepted
+    out = {k: v for k, v in _FOUND.items() if k != "found"} | {"spans": pa.string()}
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [",".join(c["span"] for c in row or [] if c["base"] or c["code"] in accepted) for row in batch.column("found").to_pylist()]
+        return common.record(out, *(batch.column(c) for c in out if c != "spans"), spans)
+
+    return common.over_texts(found, keep, _FOUND_SCHEMA.replace("found array<struct<span: string, base: boolean, code: int>>", "spans string"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of its texts replaced by its kind in angle brackets; other columns and rows as they were.
 
-    Overlapping spans become one, of the kind that starts first. Null texts stay null.
+    Overlapping spans become one, of the kind that starts first. Null texts stay null. Texts are read twice, once for the
+    counts that training needs: that takes less than writing them down together with their candidates.
     """
     accepted = train(common.keep(scan(docs), "candidates")).accepted
     names = docs.columns
