@@ -79,7 +79,8 @@ def test_lines_small(spark):
     same(queries.op2_line_dedup(spark, SMALL), queries.SQL["op2_line_dedup"], SMALL)
 
 
-def test_lines_against_a_loop(spark):
+@pytest.mark.parametrize("min_words", [8, 3, 2])
+def test_lines_against_a_loop(spark, min_words):
     rng = random.Random(4)
     base = ["a b c d e f g h i", "a b c d e f g h", "one two three", "x " * 9 + "x", "", "  "]
 
@@ -91,14 +92,19 @@ def test_lines_against_a_loop(spark):
         return " ".join(words)
 
     rows = [(k, "\n".join(line() for _ in range(6))) for k in range(40)]
-    gone = plain_lines(rows)
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = plain_lines(rows, min_words)
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words).collect()}
     for i, t in rows:
         kept = [x for n, x in enumerate(t.split("\n")) if (i, n) not in gone]
         assert out[i]["text"] == "\n".join(kept)
         assert out[i]["n_kept"] == sum(bool(x.strip(" \t\r")) for x in kept)
 
 
+def test_lines_of_one_word_have_no_neighbourhood(nothing):
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(nothing, 1)
+
+
 def test_lines_edges(edge, nothing):
     out = line_dedup.dedup_lines(edge)
     assert out.columns == ["doc_id", "text", "lang", "node", "score", "key", "Text", "n_lines", "n_kept"]

@@ -8,7 +8,7 @@ from test_tokens import JSON, check_packing
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from conftest_llm import SMALL
+from conftest_llm import EDGE, SMALL
 from wavemill.llm import common, quality
 
 
@@ -74,3 +74,26 @@ def test_run_is_registered(spark):
     rows = pipeline.run(spark, SMALL)
     assert {"doc_id", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in entry.queries() if n.startswith("op")} == set(range(1, 11))
+
+
+def test_every_stage_takes_edge_rows(spark, edge, nothing):
+    from pyspark.sql import functions as F
+
+    clashing = edge.withColumn("n_chars", F.length(edge["lang"])).withColumn("stays", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("salt", F.lit(3))
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, clashing, SMALL)
+        rows = out.collect()
+        if name != "best-fit packing":
+            assert out.columns == clashing.columns
+            assert all(r[0] in {e[0] for e in EDGE} for r in rows)
+        assert rows
+        assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_equal_rows_leave_one(spark):
+    rows = [(7, "a b c d e f g"), (7, "a b c d e f g"), (7, "other words than those, all of them"), (8, "A b c d e f g"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from wavemill.llm import ngram_join
+
+    assert sorted(map(str, map(tuple, ngram_join.one_each(df).collect()))) == sorted(map(str, [rows[0], rows[2], rows[4]]))

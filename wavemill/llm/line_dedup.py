@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import common
 
-#: Lines of at least so many words may match with one word inserted, deleted or replaced; shorter ones exactly.
+#: Lines of at least so many words may match with one word inserted, deleted or replaced; shorter ones exactly, as one word
+#: in a few is another statement rather than a copy. The parameter min_words takes any other number from 2 on; at 1, where
+#: every line of one word would be near every other, matches of such lines are not all found, so that is an error.
 MIN_WORDS = 8
 
-#: Bytes up to which the list of dropped lines is broadcast; beyond that it meets the texts in a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Bytes up to which the list of dropped lines (eight a line, some 64 a document) is broadcast; beyond that it meets the
+#: texts in a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+#: Bytes of a row of key groups as Spark broadcasts it: two keys, a place, and two structs of two numbers each.
+_GROUP_BYTES = 128
 
 
 def _form(line: Column) -> Column:
@@ -46,6 +52,8 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Variants are emitted only for lines that share their first or last half with another line, as lines within one edit
     do, and only of the other half. That loses no match.
     """
+    if min_words < 2:
+        raise ValueError("lines of one word have no neighbourhood: min_words must be 2 or more")
     docs = common.only(docs, doc_id="long", text="string")
     raw = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     forms = raw.select("doc_id", "n", _form(F.col("line")).alias("form")).filter(F.length("form") > 0)
@@ -93,7 +101,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     groups = variants.groupBy("x", "y", "p").agg(F.min(F.when(F.col("whole"), F.col("first"))).alias("of_whole"), F.min(F.when(~F.col("whole"), F.col("first"))).alias("of_cut"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     groups = common.keep(groups.filter("lo <> hi").drop("lo", "hi"), "groups")
     partner = F.when((F.col("p") > 0) | F.col("whole"), F.col("of_cut")).otherwise(F.col("of_whole"))
-    pairs = variants.join(common.small(groups), ["x", "y", "p"]).select("h", "g", "first", partner.alias("earlier")).filter(F.col("earlier") < F.col("first")).distinct()
+    pairs = variants.join(common.small(groups, groups.count() * (_GROUP_BYTES // 64)), ["x", "y", "p"]).select("h", "g", "first", partner.alias("earlier")).filter(F.col("earlier") < F.col("first")).distinct()
     own = text.select(F.col("t_h").alias("h"), F.col("t_g").alias("g"), F.col("words").alias("a"))
     other = text.select("c_id", "c_n", F.col("words").alias("b"))
     pairs = pairs.join(own, ["h", "g"]).join(other, F.col("earlier.doc_id").eqNullSafe(F.col("c_id")) & (F.col("earlier.n") == F.col("c_n")))
@@ -109,18 +117,25 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are named like the two counts are left out.
     """
     names = docs.columns
-    drops = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("n", "h")).alias("__drops"))
+    code = lambda n, h: F.shiftleft(n.cast("long"), 32).bitwiseOR(h.bitwiseAND(F.lit((1 << 32) - 1)))
+    drops = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(code(F.col("n"), F.col("h"))).alias("__drops"))
     drops = common.keep(drops, "drops")
     docs = common.guarded(docs, "doc_id", "text")
     n_docs, n_lines = drops.agg(F.count("*"), F.sum(F.size("__drops"))).first()
-    hint = F.broadcast(drops) if 32 * (n_docs + (n_lines or 0)) <= BROADCAST_BYTES else drops
+    hint = F.broadcast(drops) if 64 * n_docs + 8 * (n_lines or 0) <= BROADCAST_BYTES else drops
     joined = docs.join(hint, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
     rows = F.split(F.col("text").cast("string"), "\n")
-    gone = lambda line, n: F.array_contains("__drops", F.struct(n.alias("n"), F.xxhash64(_form(line)).alias("h")))
-    kept = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(F.filter(rows, lambda line, n: ~gone(line, n)), "\n"))
-    counted = lambda text: F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda line: F.length(_form(line)) > 0)), F.lit(0)).cast("long")
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(counted(F.col("text")))).withColumn("__kept", kept)
-    out = out.withColumn("n_kept", F.when(F.col("__drops").isNull(), F.col("n_lines")).otherwise(counted(F.col("__kept"))))
+    # A line's place in front of 32 bits of its hash; what array_except() leaves, in order, are the places that stay.
+    codes = F.transform("__rows", lambda line, n: code(n, F.xxhash64(_form(line))))
+    left = F.transform(F.array_except(codes, F.col("__drops")), lambda c: F.get(F.col("__rows"), F.shiftrightunsigned(c, 32).cast("int")))
+    counted = lambda rows: F.coalesce(F.size(F.filter(rows, lambda line: F.length(_form(line)) > 0)), F.lit(0)).cast("long")
+    some = F.col("__drops").isNotNull()
+    # Each explode() of one element keeps what it makes from being worked out again wherever it is used.
+    out = joined.withColumn("__rows", F.explode(F.array(rows)))
+    out = out.withColumn("__found", F.explode(F.array(F.struct(F.when(some, left).alias("left"), counted(F.col("__rows")).alias("n")))))
+    cut = F.when(some, F.size("__rows") - F.size("__found.left")).otherwise(F.lit(0))  # lines that are cut are never blank
+    out = out.withColumn("n_lines", F.col("__found.n")).withColumn("n_kept", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("__found.n") - cut))
+    out = out.withColumn("__kept", F.when(some, F.array_join("__found.left", "\n")).otherwise(F.col("text")))
     stay = [k for k, c in enumerate(names) if c.lower() not in ("n_lines", "n_kept")]
     out = out.select(*(F.col("__kept" if docs.columns[k] == "text" else docs.columns[k]).alias(f"__c{k}") for k in stay), "n_lines", "n_kept")
     return out.toDF(*(names[k] for k in stay), "n_lines", "n_kept")

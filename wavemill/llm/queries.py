@@ -77,7 +77,7 @@ QUERIES = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL = {
-    "op2_line_dedup": """
+    "op2_line_dedup": f"""
         WITH l AS (
             SELECT doc_id, n, trim(line, ' \t\r') AS form
             FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n
@@ -86,7 +86,7 @@ SQL = {
             SELECT form, min((doc_id, n)) AS first, string_split(form, ' ') AS words FROM l WHERE form <> '' GROUP BY form
         ), v AS (
             SELECT form, first, i, CASE WHEN i = 0 THEN words ELSE list_concat(words[:i - 1], words[i + 1:]) END AS rest
-            FROM (SELECT *, unnest(range(len(words) + 1)) AS i FROM d WHERE len(words) >= 8)
+            FROM (SELECT *, unnest(range(len(words) + 1)) AS i FROM d WHERE len(words) >= {line_dedup.MIN_WORDS})
         ), near AS (
             SELECT a.form FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i WHERE a.i > 0 AND b.first < a.first
             UNION
