@@ -40,17 +40,18 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def search(query: np.ndarray, query_id: int, columns: np.ndarray, tails: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def search(query: np.ndarray, query_id: int, columns: np.ndarray, tails: np.ndarray, ids: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
     """The tile's k best (ids, scores) for one query, best first.
 
     Scores accumulate dimension block by dimension block over the candidates that survive. After a block, a candidate's
     score can still move by at most the product of the norms of what is left of both vectors (tails has the
-    candidates'); those whose most is below the k-th largest least are dropped and the rest compacted.
+    candidates'); those whose most is below the k-th largest least, or below floor, a score that k candidates reach
+    somewhere, are dropped and the rest compacted. Before the first block, that is a bound by whole norms.
     """
     width = len(columns)
-    alive = np.flatnonzero(ids != query_id)
-    partial = np.zeros(len(alive))
     left = np.sqrt(np.concatenate([np.cumsum((query * query)[::-1])[::-1], [0.0]]))
+    alive = np.flatnonzero((ids != query_id) & (left[0] * tails[0] * (1 + 1e-9) + 1e-6 >= floor))
+    partial = np.zeros(len(alive))
     for n, at in enumerate(range(0, width, BLOCK)):
         to = min(width, at + BLOCK)
         part = columns[at:to] if len(alive) == columns.shape[1] else columns[at:to, alive]
@@ -58,9 +59,11 @@ def search(query: np.ndarray, query_id: int, columns: np.ndarray, tails: np.ndar
         if len(alive) > k and to < width:
             slack = left[to] * tails[n + 1][alive] * (1 + 1e-9) + 1e-6
             least = partial - slack
-            bar = np.partition(least, len(least) - k)[len(least) - k]
+            bar = max(floor, np.partition(least, len(least) - k)[len(least) - k])
             stay = partial + slack >= bar
             alive, partial = alive[stay], partial[stay]
+    stay = partial >= floor
+    alive, partial = alive[stay], partial[stay]
     order = np.lexsort((ids[alive], -partial))[:k]
     return ids[alive[order]], partial[order]
 
@@ -68,6 +71,8 @@ def search(query: np.ndarray, query_id: int, columns: np.ndarray, tails: np.ndar
 def _tile(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     q_ids, ids = queries.column("vec_id").to_numpy(), candidates.column("vec_id").to_numpy()
     width = max((int(c.combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max(initial=0)) for c in (queries.column("v"), candidates.column("v")) if len(c)), default=0)
+    floors = queries.column("floor").to_numpy(zero_copy_only=False).astype(float)
+    floors = np.where(np.isnan(floors), -np.inf, floors)
     found: list[tuple[int, np.ndarray, np.ndarray]] = []
     if len(q_ids) and len(ids):
         q, c = _matrix(queries.column("v"), width), _matrix(candidates.column("v"), width)
@@ -76,7 +81,7 @@ def _tile(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
             squares = np.add.reduceat(columns * columns, np.arange(0, width, BLOCK), axis=0) if width else np.zeros((0, len(ids)))
             tails = np.sqrt(np.concatenate([np.cumsum(squares[::-1], axis=0)[::-1], np.zeros((1, len(ids)))]))
             for j, query_id in enumerate(q_ids.tolist()):
-                best, scores = search(q[:, j].astype(np.float64), query_id, columns, tails, ids, k)
+                best, scores = search(q[:, j].astype(np.float64), query_id, columns, tails, ids, k, floors[j])
                 found.append((query_id, best, scores.astype(np.int64)))
         else:  # too large for doubles: whole numbers of any size, and scores that a long can't hold at its ends
             whole = c.astype(object)
@@ -96,17 +101,34 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     Both sides hold (vec_id long, v array<long>), as quantised() gives. Candidates of the query's own vec_id are left
     out; ties go to the smaller vec_id; a query with fewer candidates gets them all. Shorter vectors count as filled up
-    with zeros. Repeated rows are rows of their own as candidates and count once as queries. Queries and candidates are
-    hashed into tiles of bounded size and every pair of tiles is one task's work, so no side has to fit in one place.
+    with zeros. Repeated rows are rows of their own as candidates; a vec_id counts once as a query, with its smallest
+    vector. Other columns are ignored. Queries and candidates are dealt into tiles of bounded size and every pair of tiles
+    is one task's work, so no side has to fit in one place; all start from the floor that the largest vectors set.
     """
-    queries = queries.select("vec_id", "v").dropDuplicates(["vec_id"])
+    spark = queries.sparkSession
+    queries = common.only(queries, vec_id="long", v="array<long>").groupBy("vec_id").agg(F.min("v").alias("v"))
+    candidates = common.only(candidates, vec_id="long", v="array<long>")
     n_queries, n_candidates = queries.count(), candidates.count()
     q_tiles, c_tiles = max(1, -(-n_queries // QUERIES)), max(1, -(-n_candidates // CANDIDATES))
-    spread = lambda df, own, other, mine, theirs: df.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(own)).cast("int").alias(mine)).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-    left = spread(queries, q_tiles, c_tiles, "q_tile", "c_tile")
-    right = spread(candidates, c_tiles, q_tiles, "c_tile", "q_tile")
-    common.ship(queries.sparkSession)
+    tile = lambda tiles, *by: F.pmod(F.xxhash64(*by), F.lit(tiles)).cast("int")
+    common.ship(spark)
+    schema = "query_id long, vec_id long, score long"
+    if c_tiles > 1:
+        # The largest vectors come first: each query's k-th best score among them is a floor that all tiles start from.
+        norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+        head = common.keep(candidates.orderBy(norm.desc(), "vec_id").limit(CANDIDATES).select("vec_id", "v"), "head")
+        asked = queries.withColumn("floor", F.lit(None).cast("double")).withColumn("q_tile", tile(q_tiles, "vec_id"))
+        met = head.crossJoin(F.broadcast(spark.range(q_tiles).select(F.col("id").cast("int").alias("q_tile"))))
+        first = asked.groupBy("q_tile").cogroup(met.groupBy("q_tile")).applyInArrow(lambda a, b: _tile(a, b, k), schema)
+        floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).filter(F.col("n") == k)
+        queries = common.keep(queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "floor"), "floors")
+    else:
+        queries = queries.withColumn("floor", F.lit(None).cast("double"))
+    # Repeated rows of one vector are dealt out too: a tile's number comes from a row's place, not from what it holds.
+    left = queries.withColumn("q_tile", tile(q_tiles, "vec_id")).withColumn("c_tile", F.explode(F.sequence(F.lit(0), F.lit(c_tiles - 1))))
+    right = candidates.withColumn("c_tile", F.pmod(F.monotonically_increasing_id() + F.shiftrightunsigned(F.monotonically_increasing_id(), 33), F.lit(c_tiles)).cast("int"))
+    right = common.keep(right, "candidates").withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))))
     pairs = left.groupBy("q_tile", "c_tile").cogroup(right.groupBy("q_tile", "c_tile"))
-    found = pairs.applyInArrow(lambda a, b: _tile(a, b, k), "query_id long, vec_id long, score long")
+    found = pairs.applyInArrow(lambda a, b: _tile(a, b, k), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
