@@ -48,8 +48,8 @@ def keep_quality(spark, docs, sf_dir):
 @_stage
 def drop_lines(spark, docs, sf_dir):
     """Documents without the lines that repeat an earlier one; those that lose all their lines go."""
-    out = line_dedup.dedup_lines(docs).filter("n_kept > 0 or n_lines = 0").drop("n_lines", "n_kept")
-    return _recounted(out)
+    out = line_dedup.dedup_lines(common.guarded(docs, "doc_id", "text")).filter("n_kept > 0 or n_lines = 0")
+    return _recounted(out.drop("n_lines", "n_kept").toDF(*docs.columns))
 
 
 @_stage
