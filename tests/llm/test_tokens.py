@@ -1,7 +1,8 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -141,25 +142,63 @@ def test_packing_edges(spark, edge, nothing, library):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_plan_is_best_fit_decreasing(seed):
+def test_sweep_takes_the_tightest_gap(seed):
+    rng = random.Random(seed)
+    rooms = {n: rng.randrange(1, 20) for n in rng.sample(range(1, 40), 20)} | {40: 2000}
+    waiting = {n: rng.randrange(1, 30) for n in rng.sample(range(1, 41), 15)}
+    found = Counter()
+    for room, a, b, length, rank, each in packing.sweep(rooms, waiting, 0):
+        assert each == 1 and rank == sum(n for (_, m), n in found.items() if m == length) and b <= rooms[room]
+        found[room, length] += b - a
+    left, want = sorted(Counter(rooms).elements()), Counter()
+    for length in sorted(Counter(waiting).elements(), reverse=True):
+        room = left.pop(bisect_left(left, length))
+        want[room, length] += 1
+    assert found == want
+
+
+def test_sweep_fills_few_gaps_with_many_pieces():
+    assert packing.sweep({10: 2}, {3: 6}, 0) == [(10, 0, 2, 3, 0, 3)]
+    assert packing.sweep({10: 2}, {3: 3}, 0) == [(10, 0, 1, 3, 0, 2), (10, 1, 2, 3, 2, 1)]
+    assert packing.sweep({10: 2}, {3: 5, 2: 1}, 2) == [(10, 0, 1, 3, 0, 3), (10, 1, 2, 3, 3, 2)]
+    assert packing.sweep({}, {3: 5}, 0) == packing.sweep({2: 5}, {3: 5}, 0) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fill_is_near_best_fit_decreasing(spark, seed):
     rng = random.Random(seed)
     capacity = 40
-    counts = {n: rng.randrange(1, 30) for n in rng.sample(range(1, capacity + 1), 15)}
+    counts = {n: rng.randrange(1, 300) for n in rng.sample(range(1, capacity + 1), 15)}
     left = []
-    for n in sorted(counts, reverse=True):
-        for _ in range(counts[n]):
-            fit = min(((r, k) for k, r in enumerate(left) if r >= n), default=None)
-            if fit is None:
-                left.append(capacity - n)
-            else:
-                left[fit[1]] -= n
-    used = {}
-    for n, a, b, first, offset in packing.plan(counts, capacity).tolist():
-        for q in range(first, first + b - a):
-            assert used.get(q, 0) == offset
-            used[q] = offset + n
-    assert max(used.values()) <= capacity and sorted(used) == list(range(len(used)))
-    assert len(used) <= len(left)
+    for n in sorted(Counter(counts).elements(), reverse=True):
+        fit = min(((r, k) for k, r in enumerate(left) if r >= n), default=None)
+        if fit is None:
+            left.append(capacity - n)
+        else:
+            left[fit[1]] -= n
+    rows = packing.fill(spark, counts, capacity).collect()
+    assert sorted((r["length"], r["rank"]) for r in rows) == sorted((n, k) for n, c in counts.items() for k in range(c))
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in by.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+        assert sum(n for _, n in spans) <= capacity
+    assert len(by) <= 1.01 * len(left) + 1
+
+
+def test_pack_takes_columns_of_its_own_names(spark):
+    names = ["doc_id", "rank", "salt", "before", "length", "row", "room", "Length", "n", "sequence_id"]
+    rows = [(None if k % 3 else k // 9, "r", k % 2, None, 1 + k % 9, 5, None, 7, 1, "s") for k in range(60)]
+    out = packing.pack(spark.createDataFrame(rows * 2, "a long, b string, c int, d string, e int, f int, g string, h int, i int, j string").toDF(*names), 10)
+    assert out.columns == [*names, "sequence_id", "offset"]
+    found = out.collect()
+    assert sorted(map(str, (tuple(r)[:10] for r in found))) == sorted(map(str, rows * 2))
+    taken = sorted((r[10], p) for r in found for p in range(r[11], r[11] + r[4]))
+    assert len(taken) == len(set(taken)) and max(p for _, p in taken) < 10
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 11)], "doc_id long, length int"), 10)
 
 
 def test_bpe(spark, small, small_rows, by_ranks):
