@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -34,13 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, tag: str) -> str:
+    """The path of a table in the shared folder that df is written to."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wavemill-{uuid.uuid4().hex}-{tag}"
     _tables.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def keep(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, tag))
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:
@@ -167,6 +173,14 @@ def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | It
     return in_python(df, run, schema, holds)
 
 
+def trim() -> None:
+    """Give what this process has freed back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 _shipped: set[str] = set()
 
 

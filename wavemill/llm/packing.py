@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,8 @@ from wavemill.llm import common, words
 
 _PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
+_STEP = "sequence_id long, room long, length long, first long, n long, left long"
+
 #: Gaps that one task ranks and settles.
 GAPS_A_TASK = 100_000
 
@@ -93,8 +94,9 @@ def _ranked(rows: DataFrame, size: str, key: str, salts: int) -> DataFrame:
     return ranked.join(before, [size, "salt"]).withColumn("rank", F.col("rank") - 1 + F.coalesce("before", F.lit(0))).drop("salt", "before")
 
 
-def _settled(gaps: DataFrame, matches: list[tuple[int, int, int, int, int, int]], taken: dict[int, int]) -> DataFrame:
-    """gaps(sequence_id, room, rank) with the pieces they take: length, first (rank among all of that length), n (0: none)."""
+def _settled(gaps: DataFrame, matches: list[tuple[int, int, int, int, int, int]], taken: dict[int, int], least: int) -> DataFrame:
+    """gaps(sequence_id, room, rank) with the pieces they take: length, first (rank among all of that length), n (0: none);
+    and the room left after them, 0 where that is under `least`."""
     rows = np.array(sorted(matches), np.int64).reshape(-1, 6)
     first = rows[:, 4] + np.array([taken.get(length, 0) for length in rows[:, 3].tolist()], np.int64)
 
@@ -111,9 +113,11 @@ def _settled(gaps: DataFrame, matches: list[tuple[int, int, int, int, int, int]]
                     mine, at = mine[ok], at[ok]
                     length[mine], n[mine] = rows[at, 3], rows[at, 5]
                     start[mine] = first[at] + (rank[mine] - rows[at, 1]) * rows[at, 5]
-            yield pa.record_batch([batch.column("sequence_id"), batch.column("room"), pa.array(length), pa.array(start), pa.array(n)], names=["sequence_id", "room", "length", "first", "n"])
+            left = room - length * n
+            columns = batch.column("sequence_id"), room, length, start, n, np.where(left < least, 0, left)
+            yield pa.record_batch([pa.array(c) for c in columns], names=["sequence_id", "room", "length", "first", "n", "left"])
 
-    return common.in_python(gaps.select("sequence_id", "room", "rank"), settle, "sequence_id long, room long, length long, first long, n long")
+    return common.in_python(gaps.select("sequence_id", "room", "rank"), settle, _STEP)
 
 
 def fill(spark: SparkSession, counts: dict[int, int], capacity: int = 1024) -> DataFrame:
@@ -138,18 +142,18 @@ def fill(spark: SparkSession, counts: dict[int, int], capacity: int = 1024) -> D
             opened, rooms = opened + more, rooms | {capacity: rooms.get(capacity, 0) + more}
         matches = sweep(rooms, waiting, above)
         tasks = -(-sum(rooms.values()) // GAPS_A_TASK)
-        step = common.keep(_settled(_ranked(gaps, "room", "sequence_id", tasks).coalesce(tasks), matches, taken), f"gaps{len(steps)}")
-        steps.append(step.filter("n > 0"))
+        before = dict(taken)
         for room, a, b, length, _, each in matches:
             taken[length] += (b - a) * each
             rooms[room] -= b - a
             rooms[room - length * each] = rooms.get(room - length * each, 0) + b - a
         least = min((length for length in counts if counts[length] > taken[length]), default=capacity + 1)
-        gaps = step.select("sequence_id", (F.col("room") - F.col("length") * F.col("n")).alias("room")).filter(F.col("room") >= least)
+        steps.append(common.written(_settled(_ranked(gaps, "room", "sequence_id", tasks).coalesce(tasks), matches, before, least), f"gaps{len(steps)}"))
+        gaps = spark.read.schema(_STEP).parquet(steps[-1]).filter("left > 0").select("sequence_id", F.col("left").alias("room"))
         rooms = {room: n for room, n in rooms.items() if n and room >= least}
     if not steps:
         return spark.createDataFrame([], "length long, rank long, sequence_id long, offset long")
-    placed = reduce(DataFrame.union, steps).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = spark.read.schema(_STEP).parquet(*steps).filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     return placed.select("length", (F.col("first") + F.col("i")).alias("rank"), "sequence_id", (capacity - F.col("room") + F.col("i") * F.col("length")).alias("offset"))
 
 

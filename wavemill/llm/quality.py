@@ -105,7 +105,7 @@ def packed(text: bytes) -> bytes:
     return head + np.where(found < WORDS, found, found - WORDS).astype("<u2").tobytes() + (times / most).astype("<f2").tobytes()
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(blob: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     """(features, shares) of packed()."""
     n = (len(blob) - 8) // 4
     found = np.frombuffer(blob, "<u2", n, 8).astype(np.int32)
@@ -113,7 +113,7 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found, np.frombuffer(blob, "<f2", n, 8 + 2 * n).astype(np.float32) * np.frombuffer(blob, "<f4", 1, 4)[0]
 
 
-def fit(docs: list[bytes], labels: list[int]) -> Model:
+def fit(docs: list[bytes | pa.Buffer], labels: list[int]) -> Model:
     """Feature vectors and a softmax layer over their average, trained one document, as packed() has it, after the other.
 
     For two classes the softmax of a linear layer over an average of vectors is a logistic function of an average of
@@ -176,7 +176,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return fit([], [])
     draw, doc_id, n = keys[-1]
     chosen = sample.filter(F.struct(*order) <= F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip(order, (draw, doc_id, n), strict=True)))).orderBy(*order, "features").limit(len(keys)).select("quality", "features").toArrow()
-    return fit([f.as_py() for f in chosen.column("features")], chosen.column("quality").to_pylist())
+    model = fit([f.as_buffer() for f in chosen.column("features")], chosen.column("quality").to_pylist())
+    del chosen
+    common.trim()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, pass_on: list[str]) -> DataFrame:
