@@ -175,6 +175,7 @@ def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | It
 
 def trim() -> None:
     """Give what this process has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
@@ -207,6 +208,7 @@ def in_python(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches):
         _let_go(holds)
         yield from fn(batches)
+        trim()
 
     return df.mapInArrow(run, schema)
 
