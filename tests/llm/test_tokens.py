@@ -48,6 +48,15 @@ def test_encoder_forgets_and_goes_on(library, monkeypatch):
 TWINS = [bytes(b"ab"[(bin(i).count("1") + k) & 1] for i in range(2048)).decode() for k in (0, 1)]  # Thue-Morse words
 
 
+@pytest.mark.parametrize("cap", ["MOST_IDS", "MOST_BYTES"])
+def test_encoder_forgets_ids_and_bytes(library, monkeypatch, cap):
+    monkeypatch.setattr(words.Encoder, cap, 40)
+    e, texts = words.Encoder(JSON), [f"{k} word{k * k} again" for k in range(300)]
+    for t in texts:
+        assert [ids.tolist() for ids in e([t.encode()])] == [library(t)]
+    assert e.count < 20
+
+
 def test_encoder_tells_words_of_one_hash_apart(library, monkeypatch):
     assert [ids.tolist() for ids in words.Encoder(JSON)([t.encode() for t in TWINS])] == [library(t) for t in TWINS]
     monkeypatch.setattr(words.hashing, "span_hashes", lambda text, starts: (np.diff(starts, append=len(text)) % 3).astype(np.uint64) << np.uint64(60) | np.uint64(1))

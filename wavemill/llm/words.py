@@ -108,8 +108,9 @@ class Encoder:
     Texts that aren't plain go through Payloads one by one.
     """
 
-    #: Distinct pre-tokens that are remembered (some 80 bytes each); beyond that it starts over.
-    MOST = 1_000_000
+    #: Distinct pre-tokens that are remembered (some 200 bytes each with room to grow), their ids and their bytes: 40 MB or
+    #: so, however much a worker reads. Beyond that it starts over, which changes speed only.
+    MOST, MOST_IDS, MOST_BYTES = 200_000, 1 << 22, 1 << 23
 
     def __init__(self, path: str):
         self.one = Payloads(path, 4)
@@ -203,7 +204,7 @@ class Encoder:
 
     def _plain(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens at starts, end to end, and where each pre-token's end."""
-        if self.count > self.MOST or self.used > 1 << 26 or self.spelt_used > 1 << 27:
+        if self.count > self.MOST or self.used > self.MOST_IDS or self.spelt_used > self.MOST_BYTES:
             self.clear()
         hashes, lengths = hashing.span_hashes(text, starts), np.diff(starts, append=len(text))
         found, todo = np.full(len(starts), -1, np.int32), np.arange(len(starts))
