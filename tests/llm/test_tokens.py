@@ -48,6 +48,16 @@ def test_encoder_forgets_and_goes_on(library, monkeypatch):
 TWINS = [bytes(b"ab"[(bin(i).count("1") + k) & 1] for i in range(2048)).decode() for k in (0, 1)]  # Thue-Morse words
 
 
+def test_encoder_cuts_long_texts_at_safe_blanks(library, monkeypatch):
+    monkeypatch.setattr(words.hashing, "BLOCK", 60)
+    rng = random.Random(4)
+    few = ["a b", "x. y", "7 z", ", w", *PIECES]
+    texts = ["".join(rng.choice(few) for _ in range(rng.randrange(400))) for _ in range(300)] + ["z" * 500, " " * 500, " a" * 500, ""]
+    assert all(b"".join(words.stretches(t.encode())) == t.encode() for t in texts)
+    assert max(len(list(words.stretches(t.encode()))) for t in texts) > 5
+    assert [ids.tolist() for ids in words.Encoder(JSON)([t.encode() for t in texts])] == [library(t) for t in texts]
+
+
 @pytest.mark.parametrize("cap", ["MOST_IDS", "MOST_BYTES"])
 def test_encoder_forgets_ids_and_bytes(library, monkeypatch, cap):
     monkeypatch.setattr(words.Encoder, cap, 40)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,19 @@ _OTHER = re.compile("[^\u0000-՗ -₎ₐ-ₜ₠-⯿　-鿿가-힣]")
 _SAFE = re.compile("(?<=[A-Za-z0-9.,])(?= [A-Za-z])")
 
 
+_SAFE_BYTES = re.compile(rb"(?<=[A-Za-z0-9.,])(?= [A-Za-z])")
+
+
+def stretches(text: bytes) -> Iterator[bytes]:
+    """A long text in stretches of about hashing.BLOCK bytes that encode alone, as far as it has safe blanks to cut at."""
+    at = 0
+    while at < len(text):
+        found = _SAFE_BYTES.search(text, at + hashing.BLOCK)
+        to = found.start() if found else len(text)
+        yield text[at:to]
+        at = to
+
+
 def splitter():
     """A function from a text to stretches that each encode alone: its pre-tokens, or where it has characters on which
     engines differ, longer stretches, which the encoding library then splits itself."""
@@ -231,6 +245,10 @@ class Encoder:
         out: list[np.ndarray] = []
         k = 0
         while k < len(texts):
+            if len(texts[k]) > hashing.BLOCK:
+                out.append(np.concatenate([self._run([part])[0] for part in stretches(texts[k])]))
+                k += 1
+                continue
             to, size = k + 1, len(texts[k])
             while to < len(texts) and size + len(texts[to]) <= hashing.BLOCK:
                 size += len(texts[to])
