@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import common, line_dedup, ngram_join, packing, pii, quality
 
-#: Tables in the shared folder that earlier stages have written and need no more once a later stage starts.
+#: Tables in the shared folder that the stage before has written; its result is on disk once the next stage starts.
 _spent: list = []
 
 
@@ -28,7 +28,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def _stage(fn):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.delete(_spent, docs)
+        if run is not STAGES[0][1]:  # there another run begins, and the last one's result may yet be read: its tables go at exit
+            common.delete(_spent, docs)
         _spent.clear()
         before = common.tables()
         out = fn(spark, docs, sf_dir)
