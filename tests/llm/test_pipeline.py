@@ -5,6 +5,7 @@ from test_dedup_and_shards import plain_lines
 from test_models_and_search import KINDS, plain_pii
 from test_ngram_join import brute
 from test_tokens import JSON, check_packing
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -72,7 +73,9 @@ def test_run_is_registered(spark):
 
     assert entry.queries()["pipeline"] is pipeline.run
     rows = pipeline.run(spark, SMALL)
-    assert {"doc_id", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
+    assert {"doc_id", "sequence_id", "offset"} <= set(rows.columns) and (n := rows.count()) > 0
+    pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    assert rows.count() == n  # another run's beginning leaves this one's result
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in entry.queries() if n.startswith("op")} == set(range(1, 11))
 
 
@@ -97,3 +100,19 @@ def test_equal_rows_leave_one(spark):
     from wavemill.llm import ngram_join
 
     assert sorted(map(str, map(tuple, ngram_join.one_each(df).collect()))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+
+
+def test_scratch_tables_need_a_shared_folder_on_a_cluster():
+    class Cluster:
+        conf = {}
+
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Cluster)
+    Cluster.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Cluster)
+    Cluster.conf = {"spark.checkpoint.dir": "s3a://bucket/x/"}
+    assert common.shared_dir(Cluster) == "s3a://bucket/x"
